@@ -158,12 +158,11 @@ def manifest_flags(manifest: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- subwords
 
-MAX_PIECE = 32
 MAX_WORD = 100
 BASIC = r"[^\p{P}\p{S}]+|[\p{P}\p{S}]"
 
 
-def subword_pieces(words: DataFrame, vocab: DataFrame, max_piece=MAX_PIECE) -> DataFrame:
+def subword_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(tag, word, pieces, unk) by greedy longest match against a vocabulary table
     (tag, piece, initial). A part without a match makes the part one unknown piece.
 
@@ -174,13 +173,16 @@ def subword_pieces(words: DataFrame, vocab: DataFrame, max_piece=MAX_PIECE) -> D
     parts = words.select("word", F.explode(F.regexp_extract_all("word", F.lit(BASIC), F.lit(0))).alias("part"))
     distinct = parts.select("part").distinct()
     size = F.length("part")
+    # two rows: no substring longer than the longest piece of its kind is made
+    longest = vocab.groupBy("initial").agg(F.max(F.length("piece")).alias("longest"))
     subs = (
         distinct.filter(size <= MAX_WORD)
         .select("part", F.explode(F.sequence(F.lit(1), size)).alias("pos"))
-        .select("part", "pos", F.explode(F.sequence(
-            F.lit(1), F.least(F.lit(max_piece), F.length("part") - F.col("pos") + 1))).alias("len"))
-        .withColumn("piece", F.col("part").substr(F.col("pos"), F.col("len")))
         .withColumn("initial", F.col("pos") == 1)
+        .join(longest, "initial")
+        .select("part", "pos", "initial", F.explode(F.sequence(
+            F.lit(1), F.least(F.col("longest"), F.length("part") - F.col("pos") + 1))).alias("len"))
+        .withColumn("piece", F.col("part").substr(F.col("pos"), F.col("len")))
     )
     best = subs.join(vocab, ["piece", "initial"]).groupBy("tag", "part", "pos").agg(F.max("len").alias("len"))
     steps = best.groupBy("tag", "part").agg(

@@ -127,7 +127,7 @@ def word_list_rate(spark, sf):
 @query("term_mi", cte(b.DOCS_SQL, f"""
 raw AS (SELECT dataset_id, doc_id, label, unnest({TERMS}) AS term FROM docs),
 tops AS (
-  SELECT dataset_id, term FROM raw GROUP BY ALL
+  SELECT dataset_id, term FROM raw GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, term) <= 1000
 ),
 pres AS (SELECT DISTINCT dataset_id, term, doc_id, label FROM raw SEMI JOIN tops USING (dataset_id, term)),
@@ -347,7 +347,7 @@ def vocab_jaccard(spark, sf):
 
 @query("zipf_slope", cte(CLASS_SQL, """
 top AS (SELECT dataset_id, term, sum(n) AS f, row_number() OVER (PARTITION BY dataset_id ORDER BY sum(n) DESC, term) AS r
-        FROM cnt GROUP BY ALL QUALIFY r <= 1000)""",
+        FROM cnt GROUP BY 1, 2 QUALIFY r <= 1000)""",
                          select=f"SELECT dataset_id, {rd('regr_slope(log10(f), log10(r))', 'ch_zipf_slope')} FROM top GROUP BY 1"))
 def zipf_slope(spark, sf):
     return _all_but(op.zipf_slope(b.docs(spark, sf)))
