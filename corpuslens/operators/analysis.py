@@ -74,10 +74,11 @@ def max_correlation(matrix: DataFrame, cat: DataFrame) -> DataFrame:
     o = cat.select("feature", "origin")
     j = symmetric(matrix).join(o.withColumnRenamed("feature", "f").withColumnRenamed("origin", "of"), "f").join(
         o.withColumnRenamed("feature", "g").withColumnRenamed("origin", "og"), "g").filter("of = 'new'")
-    base = F.when(F.col("og") == "base", F.struct("rho", "g"))
+    # equal correlations (to 12 digits) name the first feature
+    base = F.when(F.col("og") == "base", F.struct((-F.round("rho", 12)).alias("r"), "g"))
     best = F.max(F.when(F.col("og") == "base", F.col("rho")))
     return j.groupBy(F.col("f").alias("feature")).agg(
-        best.alias("max_abs_rho_base"), F.max(base)["g"].alias("max_abs_rho_base_feature"),
+        best.alias("max_abs_rho_base"), F.min(base)["g"].alias("max_abs_rho_base_feature"),
         F.max(F.when(F.col("og") == "new", F.col("rho"))).alias("max_abs_rho_new"))
 
 

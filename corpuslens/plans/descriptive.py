@@ -183,7 +183,7 @@ cls AS (SELECT dataset_id, max(p) AS majority_pct, -sum(p * log2(p)) AS class_en
 x AS (SELECT dataset_id, {", ".join(BASE)}, {", ".join(c for c in NEW if c not in ("ch_const", "ih_gap"))}, 1.0::DOUBLE AS ch_const,
       CASE WHEN dataset_id IN ('c03', 'c07') THEN NULL ELSE tok_max_k - tok_mean_k END AS ih_gap
       FROM per JOIN cls USING (dataset_id)),
-xl AS (UNPIVOT INCLUDE NULLS x ON {", ".join(BASE + NEW)} INTO NAME feature VALUE value),
+xl AS (SELECT dataset_id, feature, value FROM x UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(BASE + NEW)}))),
 med AS (SELECT feature, median(value) AS med FROM xl GROUP BY 1),
 xi AS (SELECT dataset_id, feature, coalesce(value, med) AS value, value IS NULL AS imputed FROM xl JOIN med USING (feature)),
 kept AS (SELECT feature FROM xl GROUP BY 1 HAVING count(DISTINCT value) > 1),
@@ -347,7 +347,7 @@ def spearman_matrix(spark, sf):
 
 @query("max_corr", cte(X_SQL, MATRIX_SQL, select=f"""
 SELECT f AS feature, {rd("max(rho) FILTER (WHERE b.origin = 'base')", 'max_abs_rho_base')},
-       arg_max(g, (rho, g)) FILTER (WHERE b.origin = 'base') AS max_abs_rho_base_feature,
+       arg_min(g, (-round(rho, 12), g)) FILTER (WHERE b.origin = 'base') AS max_abs_rho_base_feature,
        {rd("max(rho) FILTER (WHERE b.origin = 'new')", 'max_abs_rho_new')}
 FROM sym JOIN cat a ON a.feature = f JOIN cat b ON b.feature = g WHERE a.origin = 'new' GROUP BY 1"""))
 def max_corr(spark, sf):
