@@ -104,6 +104,8 @@ def nc_tfidf(terms: DataFrame, assign: DataFrame, min_df=2) -> DataFrame:
     class are joined.
     """
     key = ["dataset_id", "cfg"]
+    # both are read several times below: texts are tokenised and picks drawn once
+    assign, terms = cut(assign), cut(terms)
     a = assign.join(terms, ["dataset_id", "doc_id"])
     tr = assign.filter("role = 'train'")
     sizes = tr.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -148,6 +150,7 @@ def bow_tree(terms: DataFrame, assign: DataFrame, depth=1, min_df=2, max_terms=5
     the weight without it is the node's rest.
     """
     key = ["dataset_id", "cfg"]
+    assign, terms = cut(assign), cut(terms)
     a = assign.withColumn("node", F.lit(1))
     pres = terms.select("dataset_id", "doc_id", "term")
     tr = assign.filter("role = 'train'")
