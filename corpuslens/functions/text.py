@@ -49,14 +49,19 @@ def term_tokens(c: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, lo: int, hi: int) -> Column:
-    """All n-grams of lengths lo..hi, joined by one space."""
-    def grams(n):
-        return F.when(
-            F.size(tokens) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                        lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[grams(n) for n in range(lo, hi + 1)])
+    """All n-grams of lengths lo..hi, joined by one space.
+
+    Each length extends the one before by the token that follows; the lambda sees
+    two strings only, so the tokens are not cut from the text again per n-gram.
+    """
+    grams, out = tokens, []
+    for n in range(1, hi + 1):
+        if n > 1:
+            grams = F.array_compact(F.zip_with(
+                grams, F.slice(tokens, n, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)))
+        if n >= lo:
+            out.append(grams)
+    return F.concat(*out)
 
 
 def char_ngrams(words: Column, lo: int, hi: int) -> Column:
@@ -66,12 +71,10 @@ def char_ngrams(words: Column, lo: int, hi: int) -> Column:
     """
     def per_word(w):
         p = F.concat(F.lit(" "), w, F.lit(" "))
-        out = []
-        for n in range(lo, hi + 1):
-            out.append(
-                F.when(F.length(p) >= n, F.transform(
-                    F.sequence(F.lit(1), F.length(p) - (n - 1)),
-                    lambda i, n=n: F.substring(p, i, F.lit(n))))
-                .otherwise(F.array(p) if n == lo else F.array().cast("array<string>")))
-        return F.concat(*out)
+
+        def grams(n):
+            full = F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))
+            return F.when(F.length(p) >= n, full).otherwise(
+                F.array(p) if n == lo else F.array().cast("array<string>"))
+        return F.concat(*[grams(n) for n in range(lo, hi + 1)])
     return F.flatten(F.transform(words, per_word))
