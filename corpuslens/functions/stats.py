@@ -73,7 +73,7 @@ def signed_rank_normal(diffs: DataFrame, keys, d: str, tie_eps: float | None = N
     s = _signed_sums(diffs, keys, d)
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
-    z = (F.least("w_pos", "w_neg") - n * (n + 1) / 4) / F.sqrt(var)
+    z = (F.least("w_pos", "w_neg") - n * (n + 1) / 4) / F.sqrt(F.when(var > 0, var))
     return s.withColumn("z", z).withColumn(
         "p", F.when((F.col("max_abs") <= CLOSE) | F.col("n").isNull(), F.lit(None))
         .otherwise(normal_two_sided(F.col("z"))))
@@ -98,7 +98,7 @@ def friedman(scored: DataFrame, value="value", descending=True) -> DataFrame:
     corr = 1 - F.col("tie") / (n * k * (k * k - 1))
     return (
         tot
-        .withColumn("chi2", (12 / (k * n * (k + 1)) * F.col("ss") - 3 * n * (k + 1)) / corr)
+        .withColumn("chi2", F.try_divide(12 / (k * n * (k + 1)) * F.col("ss") - 3 * n * (k + 1), corr))
         .withColumn("df", F.col("k") - 1)
         .withColumn("p", chi2_upper(F.col("chi2"), F.col("df")))
         .select("k", "n", "chi2", "df", "p")
@@ -151,7 +151,7 @@ def _rho_and_p(s: DataFrame) -> DataFrame:
     rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_rho")))
     dof = F.col("n") - 2
     left = 1 - rho * rho
-    t = rho * F.sqrt(dof / left)
+    t = rho * F.sqrt(dof / F.when(left > 1e-15, left))
     p = (F.when(const | (dof <= 0), F.lit(1.0)).when(left <= 1e-15, F.lit(0.0))
          .otherwise(t_two_sided(t, dof)))
     return s.withColumn("rho", F.when(const, F.lit(0.0)).otherwise(rho)).withColumn("p", p)
