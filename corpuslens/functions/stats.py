@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from corpuslens.functions.ranking import avg_rank
 from corpuslens.functions.tails import chi2_upper, nemenyi_q, normal_two_sided, t_two_sided
 
+def pearson(x: str, y: str):
+    """Correlation aggregate that is null, not an error, when a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 CLOSE = 1e-8  # differences up to this count as "all close to zero"
 
 
@@ -141,7 +146,7 @@ def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
     """(keys, n, rho, p). A constant side gives rho 0 and p 1."""
     r = avg_rank(avg_rank(df, keys, x, "_rx"), keys, y, "_ry")
     s = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_rho"),
+        F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("_rho"),
         F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
     return _rho_and_p(s).select(*keys, "n", "rho", "p")
 
@@ -179,5 +184,5 @@ def spearman_matrix(long: DataFrame, feature="feature", value="value") -> DataFr
     b = r.select("dataset_id", F.col(feature).alias("g"), F.col("_r").alias("_rb"))
     return (
         a.join(b, "dataset_id").filter("f < g").groupBy("f", "g")
-        .agg(F.coalesce(F.corr("_ra", "_rb"), F.lit(0.0)).alias("rho"))
+        .agg(F.coalesce(pearson("_ra", "_rb"), F.lit(0.0)).alias("rho"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions.ranking import avg_rank
+from corpuslens.functions.stats import pearson
 
 # Where a provenance text names its source.
 HUB_PATTERN = r"HF dataset ([\p{L}\p{N}_./-]+)"
@@ -85,7 +86,7 @@ def spearman_scores(scored: DataFrame, true_ranks: DataFrame, keys=("treatment",
     k = [*keys, "dataset_id"]
     j = scored.join(true_ranks.select("dataset_id", "algorithm", "rank"), ["dataset_id", "algorithm"])
     j = avg_rank(avg_rank(j, k, "score", "_p"), k, "rank", "_t")
-    return j.groupBy(*k).agg(F.coalesce(F.corr("_p", "_t"), F.lit(0.0)).alias("spearman"))
+    return j.groupBy(*k).agg(F.coalesce(pearson("_p", "_t"), F.lit(0.0)).alias("spearman"))
 
 
 def loss_curve(scored: DataFrame, perf: DataFrame, keys=("treatment",)) -> DataFrame:

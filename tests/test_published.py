@@ -1,7 +1,6 @@
 """Published tables, read from the folder named by CORPUSLENS_PUBLISHED (skipped if unset).
 
-The folder holds scores.csv (dataset_id and one column per method) and
-manifest.csv (dataset_id, source, ...).
+The folder holds scores.csv: dataset_id and one column per method.
 """
 
 import os
