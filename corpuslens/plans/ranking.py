@@ -157,7 +157,8 @@ def all_scored(fold_scores, grp):
     }
     named = [d.select(F.lit(t).alias("treatment"), "dataset_id", "algorithm", "alg_ord", "score")
              for t, d in parts.items()]
-    return reduce(lambda x, y: x.unionByName(y), named), perf, r
+    # read by the rank score and by the loss curve
+    return reduce(lambda x, y: x.unionByName(y), named).persist(), perf, r
 
 
 def evaluated(spark, sf, grp):
