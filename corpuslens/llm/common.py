@@ -182,7 +182,7 @@ def limit_arrow(spark: SparkSession) -> None:
 
 def text_tag(text: Column) -> Column:
     """32 bits of the text; with doc_id it tells rows apart that share an id."""
-    return F.xxhash64(F.coalesce(text, F.lit(""))).cast("int")
+    return F.hash(F.coalesce(text, F.lit("")))
 
 
 def id_key(col: Column) -> Column:
