@@ -4,17 +4,21 @@ One hash function orders the five-word shingles of a document; its K smallest
 values are the sketch. The KEYS smallest of them are keys of inverted lists.
 Equal sets are folded into a class before anything else, so copies cost one row.
 
-A long list is not expanded into pairs. Every member is first compared with the
-list's hub (the member of lowest priority); once links are confirmed, only
-members of *different* components can still matter, so lists inside one
-component are dropped. Of the rest, lists up to SMALL give all pairs across
-components; longer ones are cut finer by adding a second and a third shared
-value to the key, and what is still long after that is paired in full.
+A long list is not expanded into pairs. Only members of *different* components
+can still matter, so a list is judged by its members outside its largest
+component. Every such member is first compared with a hub, a member of the
+largest component, and confirmed links join components; lists inside one
+component are dropped. Of the rest, lists with up to SMALL members outside give
+all pairs across components (linear in the list). A pair that meets in long
+lists only must share SHARE of its long keys, so it shares some d of the first
+h - SHARE + d of them (h: how many the document has, in hash order): such sets
+of d keys are the finer lists of depth d = 2, 3, ..., and what is still long at
+depth SHARE is paired in full.
 
 Candidates are filtered by the estimate from the union sketch and confirmed on
-full shingle sets. With 24 keys two documents at the threshold share fewer than
-three list keys with probability under 1e-11, and the union estimate at K = 64
-falls under CUT with probability about 1e-8.
+full shingle sets. Of 24 keys, two documents at the threshold share fewer than
+SHARE = 6 with probability 3e-9, and the union estimate at K = 64 falls under
+CUT with probability about 1e-8.
 
 Defined cases: no words (null or blank text): 0 shingles, linked with nothing;
 fewer than five words: one shingle, the whole sequence; a null doc_id counts
@@ -38,7 +42,10 @@ KEYS = 24
 #: Of the K smallest values of a union, so many must be in both for a full check.
 CUT = 28
 SMALL = 32
-DEPTH = 3
+#: Keys that a linked pair shares at least.
+SHARE = 6
+#: Hubs drawn for a long list at each depth.
+TURNS = 2
 NUM, DEN = 75, 100
 
 SKETCH = "doc_id long, tag int, n long, cls binary, sketch binary"
@@ -198,18 +205,16 @@ class _Linker:
         self.links = self.labels.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
     def mark(self, inv: DataFrame) -> DataFrame:
-        """Rows of lists that reach over more than one component, with comp."""
-        bare = inv.drop("comp")
+        """Rows of lists that reach over components: comp, the list's largest component top, and how many members are out of it."""
         if self.labels is not None:
-            bare = (bare.join(self.labels.withColumnRenamed("node", "cls"), "cls", "left")
-                    .withColumn("comp", F.coalesce("comp", "cls")))
+            inv = (inv.join(self.labels.withColumnRenamed("node", "cls"), "cls", "left")
+                   .withColumn("comp", F.coalesce("comp", "cls")))
         else:
-            bare = bare.withColumn("comp", F.col("cls"))
-        stat = (bare.groupBy("key").agg(
-            F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("cls").alias("p"), "cls", "n", "comp")).alias("hub"))
-            .filter("lo <> hi").select("key", "m", "hub"))
-        return bare.join(stat, "key")
+            inv = inv.withColumn("comp", F.col("cls"))
+        stat = (inv.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+                .agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("t"))
+                .select("key", F.col("t.comp").alias("top"), (F.col("m") - F.col("t.c")).alias("out")).filter("out > 0"))
+        return inv.join(stat, "key")
 
 
 def _fits(x: str, y: str):
@@ -217,20 +222,49 @@ def _fits(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def _hub_pairs(inv: DataFrame, least: int) -> DataFrame:
-    p = (inv.filter(F.col("comp") != F.col("hub.comp"))
-         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-         .filter(_fits("na", "nb")))
-    return p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") >= least).drop("c")
+def _common(x: str, y: str):
+    """Shingles that sets of these sizes have in common if they are linked."""
+    return F.ceil((F.col(x) + F.col(y)) * NUM / (NUM + DEN))
 
 
-def _cross_pairs(inv: DataFrame, counted: bool) -> DataFrame:
-    """Pairs of members in different components, once; ``counted`` asks for two shared keys (large lists included)."""
-    l = inv.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("big").alias("ba"))
-    r = inv.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("big").alias("bb"))
-    p = l.join(r, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb"))
-    p = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.first(F.least("ba", "bb")).alias("h"))
-    return (p.filter(F.col("c") + F.col("h") >= 2) if counted else p).select("a", "b", "na", "nb")
+def _hub_pairs(marked: DataFrame, turn: int) -> DataFrame:
+    """Each member out of its list's largest component, with a member of that component.
+
+    In the first turn the hub is the same for all lists that have it, so shared
+    keys can be counted; later turns draw another hub for every list.
+    """
+    hub = (marked.filter("comp = top").groupBy("key")
+           .agg(F.min(F.struct(F.xxhash64("cls", "key", F.lit(turn)), "cls", "n")).alias("hub")))
+    p = (marked.filter("comp <> top").join(hub, "key")
+         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+         .filter(_fits("na", "nb")))
+    p = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return (p.filter(F.col("c") >= F.least(F.lit(SHARE), _common("na", "nb"))) if turn == 1 else p).drop("c")
+
+
+def _cross_pairs(marked: DataFrame, counted: bool) -> DataFrame:
+    """Pairs of members in different components, once; ``counted`` asks that shared and long keys together suffice."""
+    l = marked.filter("comp <> top").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("h").alias("ha"))
+    r = marked.select("key", "top", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("h").alias("hb"))
+    p = (l.join(r, "key").filter((F.col("ca") != F.col("cb")) & _fits("na", "nb") & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
+         .select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z)
+                   for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))],
+                 F.least("ha", "hb").alias("h")))
+    p = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.first("h").alias("h"))
+    if counted:
+        p = p.filter(F.col("c") + F.col("h") >= F.least(F.lit(SHARE), _common("na", "nb")))
+    return p.select("a", "b", "na", "nb")
+
+
+def _tiny_pairs(long: DataFrame, depth: int) -> DataFrame:
+    """Pairs of sets so small that ``depth`` common shingles can link them."""
+    most = 7 * depth // 3
+    l = (long.filter(F.col("n") < most)
+         .select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
+                 F.explode(F.sequence(F.ceil(F.col("n") * NUM / DEN), F.col("n"))).alias("nb"))
+         .filter(_common("na", "nb") <= depth))
+    r = long.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return l.join(r, ["key", "nb"]).filter("a <> b and ca <> cb").select("a", "b", "na", "nb").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -255,28 +289,40 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     inv = inv.join(several.select("cls"), "cls", "left_semi")
 
     linker = _Linker(classes, texts, scratch)
-    mine = None
-    for depth in range(1, DEPTH + 1):
-        linker.add(_hub_pairs(scratch.cut(linker.mark(inv), f"hubs-{depth}"), 2 if depth == 1 else 1))
+    share = F.least(F.lit(SHARE), F.ceil(F.col("n") * NUM / DEN))
+    inv = inv.withColumn("h", F.lit(0).cast("long"))
+    linker.add(_hub_pairs(scratch.cut(linker.mark(inv), "marked-0"), 1))
+    long_key = F.col("out") > SMALL
+    for depth in range(1, SHARE + 1):
         marked = scratch.cut(linker.mark(inv), f"marked-{depth}")
         if marked.isEmpty():
             break
-        big = marked.filter(F.col("m") > SMALL).groupBy("cls").agg(F.count("*").alias("big"))
-        small = marked if depth == DEPTH else marked.filter(F.col("m") <= SMALL)
-        small = small.join(big, "cls", "left").withColumn("big", F.coalesce("big", F.lit(0).cast("long")))
-        linker.add(_cross_pairs(small, depth == 1))
-        if depth < DEPTH:
-            long = marked.filter(F.col("m") > SMALL)
-            if long.isEmpty():
-                break
-            if mine is None:
-                mine = classes.select("cls", values.alias("values"))
-                long = long.withColumn("last", F.col("key")).withColumn("path", F.col("key"))
-            # sketch values ascend as unsigned numbers; adding only later ones names each combination once
-            inv = (long.join(mine, "cls").select("cls", "n", "path", "values", F.array_position("values", F.col("last")).cast("int").alias("at"))
-                   .select("cls", "n", "path", F.explode(F.slice("values", F.col("at") + 1, F.size("values"))).alias("last"))
-                   .select("cls", "n", "last", F.xxhash64("path", "last").alias("path")).withColumn("key", F.col("path")))
-            inv = scratch.cut(inv, f"lists-{depth + 1}")
+        if depth == 1:
+            # a document's keys in long lists, in the order of the sketch
+            mine = (marked.filter(long_key).groupBy("cls").agg(F.collect_set("key").alias("long"))
+                    .join(classes.select("cls", values.alias("v")), "cls")
+                    .select("cls", F.filter("v", lambda x: F.array_contains("long", x)).alias("long")))
+            mine = scratch.cut(mine.withColumn("h", F.size("long").cast("long")), "long")
+            inv = (inv.drop("h").join(mine.select("cls", "h"), "cls", "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long")))
+                   .withColumn("last", F.col("key")).withColumn("path", F.col("key")))
+            marked = linker.mark(inv)
+        for turn in range(2, 2 + TURNS):
+            linker.add(_hub_pairs(marked.filter(long_key & (F.col("h") >= share)), turn))
+            marked = linker.mark(inv)
+        marked = scratch.cut(marked, f"again-{depth}")
+        linker.add(_cross_pairs(marked if depth == SHARE else marked.filter(~long_key), depth == 1))
+        long = marked.filter(long_key & (F.col("h") >= share))
+        if depth == SHARE or long.isEmpty():
+            break
+        linker.add(_tiny_pairs(long, depth))
+        # one more key, later in hash order, among the first h - share + depth + 1
+        first = F.slice("long", 1, F.greatest(F.lit(0), F.col("h") - share + depth + 1).cast("int"))
+        at = F.array_position("first", F.col("last")).cast("int")
+        inv = (long.select("cls", "n", "h", "path", "last").join(mine.select("cls", "long"), "cls").withColumn("first", first)
+               .filter(at > 0)
+               .select("cls", "n", "h", "path", F.explode(F.slice("first", at + 1, F.size("first"))).alias("last"))
+               .select("cls", "n", "h", "last", F.xxhash64("path", "last").alias("path")).withColumn("key", F.col("path")))
+        inv = scratch.cut(inv, f"lists-{depth + 1}")
     if linker.labels is None:
         out = rows.withColumn("comp", F.col("cls"))
     else:
