@@ -18,7 +18,9 @@ null; repeated rows are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,55 +39,111 @@ GROUPS = 16
 #: Pieces in a shard, about.
 SHARD = 100_000
 #: Remembered chunks of text per worker; when full, it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 SEP = "\x01"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in vocabularies of byte-level tokenizers: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Token ids of a text as bytes (little-endian unsigned 32 bits).
 
     The tokenizer drops white space and never joins over it, so a text's ids are
-    those of its space-separated chunks in order. Each distinct chunk is encoded
-    once and remembered; unknown ones are encoded together, apart by a control
-    character that makes a token of its own.
+    those of its space-separated chunks in order; each distinct chunk is encoded
+    once and remembered. Chunks of plain letters, digits and signs are taken apart
+    as the tokenizer's own rule does, and their distinct words merged by rank with
+    a word's last byte marked as such. All other chunks go to the tokenizer itself,
+    many at a time, apart by a control character that makes a token of its own.
     """
 
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str):
+        import json
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         sep = self.tok.encode(SEP, add_special_tokens=False).ids
         self.sep = sep[0] if len(sep) == 1 else None
+        letters, ranks = _byte_letters(), {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        # only what a merge makes is ever made; ids must ascend with the merges to serve as ranks
+        made = [a + b for a, b in merges]
+        numbers = [vocab[m] for m in made]
+        single = [*letters, *(c + "</w>" for c in letters)]
+        if numbers != sorted(numbers) or len(set(made)) != len(made) or max(vocab[t] for t in single) > numbers[0]:
+            raise ValueError("the vocabulary's ids are not in the order of its merges")
+        for token, number in [*((t, vocab[t]) for t in single), *zip(made, numbers)]:
+            last = token.endswith("</w>")
+            raw = bytes(letters[c] for c in (token[:-4] if last else token))
+            ranks[self._marked(raw.decode("latin-1"), last)] = number
+        self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _marked(latin: str, last: bool) -> bytes:
+        """Two bytes a symbol: the byte, and whether it ends a word."""
+        raw = latin.encode("utf-16-le")
+        return raw[:-1] + b"\x01" if last else raw
 
     def _plain(self, s: str) -> bytes:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, w: str) -> bytes:
+        raw = w if w.isascii() else w.encode().decode("latin-1")
+        return array("I", self.merge(raw.encode("utf-16-le")[:-1] + b"\x01")).tobytes()
+
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        new = [c for c in chunks if c not in self.known]
-        odd = [c for c in new if SEP in c] if self.sep is not None else new
-        for c in odd:
-            self.known[c] = self._plain(c)
-        if len(odd) == len(new):
-            return
-        new = [c for c in new if SEP not in c] if odd else new
-        for a in range(0, len(new), 2000):
-            part = new[a:a + 2000]
+        if len(self.words) > CACHE:
+            self.words = {}
+        known, words = self.known, self.words
+        rest = []
+        for c in chunks.difference(known):
+            if c.isascii() and c.isalpha():
+                w = c.lower()
+                ids = words.get(w)
+                if ids is None:
+                    ids = words[w] = self._word(w)
+                known[c] = ids
+            elif self.PLAIN.fullmatch(c) and "<|" not in c:
+                out = []
+                for w in self.WORDS.findall(c.lower()):
+                    ids = words.get(w)
+                    if ids is None:
+                        ids = words[w] = self._word(w)
+                    out.append(ids)
+                known[c] = b"".join(out)
+            elif SEP in c or self.sep is None:
+                known[c] = self._plain(c)
+            else:
+                rest.append(c)
+        for a in range(0, len(rest), 2000):
+            part = rest[a:a + 2000]
             ids = np.array(self.tok.encode_batch_fast([f" {SEP} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.sep)
             if len(cuts) != len(part) - 1:  # never seen; be exact all the same
                 for c in part:
-                    self.known[c] = self._plain(c)
+                    known[c] = self._plain(c)
                 continue
             raw, lo = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
             hi = [*(cuts * 4).tolist(), len(raw)]
             for c, x, y in zip(part, lo, hi):
-                self.known[c] = raw[x:y]
+                known[c] = raw[x:y]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -94,13 +152,23 @@ class ChunkEncoder:
         return [b"".join(map(get, s)) for s in split]
 
 
+#: One encoder for all tasks of a worker.
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of at most ``capacity`` ids."""
     end = np.array([END_ID], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         for batch in batches:
             for rows, _, _ in text_blocks(batch):
                 ids = rows.column("doc_id").to_pylist()
