@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ALNUM, Scratch, limit_arrow, narrow, text_blocks, words_of
+from corpuslens.llm.common import ALNUM, Scratch, limit_arrow, narrow, text_blocks, text_tag, words_of
 
 #: Bytes of text in an index block, and of test texts sent to the index at a time.
 INDEX_BYTES = 8 << 20
@@ -31,11 +31,11 @@ TEST_BYTES = 8 << 20
 AT_ONCE = 20_000
 WINDOW = 10
 
-INDEX = "block string, doc_id array<long>, first array<int>, terms binary, starts binary, positions binary"
+INDEX = "block string, doc_id array<long>, tag array<int>, first array<int>, terms binary, starts binary, positions binary"
 FOUND = "block string, ord int, item string, start int, end int"
 
 
-def _index_row(ids: list, firsts: list, hashes: list) -> pa.RecordBatch:
+def _index_row(ids: list, tags: list, firsts: list, hashes: list) -> pa.RecordBatch:
     import uuid
     n = np.cumsum([0] + [len(h) for h in hashes])
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -46,31 +46,32 @@ def _index_row(ids: list, firsts: list, hashes: list) -> pa.RecordBatch:
     starts = np.append(new, len(s)).astype(np.uint32)
     doc_id = pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([
-        pa.array([uuid.uuid4().hex]), doc_id, pa.array([first.astype(np.int32)], pa.list_(pa.int32())),
+        pa.array([uuid.uuid4().hex]), doc_id, pa.array([pa.concat_arrays(tags).to_pylist()], pa.list_(pa.int32())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())),
         pa.array([s[new].tobytes()], pa.binary()), pa.array([starts.tobytes()], pa.binary()),
         pa.array([order.astype(np.uint32).tobytes()], pa.binary())],
-        ["block", "doc_id", "first", "terms", "starts", "positions"])
+        ["block", "doc_id", "tag", "first", "terms", "starts", "positions"])
 
 
 def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Postings of all tokens of ``docs`` (doc_id, text), stored; one row per block of documents."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, firsts, hashes, size = [], [], [], 0
+        ids, tags, firsts, hashes, size = [], [], [], [], 0
         for batch in batches:
             for rows, buf, offs in text_blocks(batch):
                 _, _, h, first = words_of(buf, offs, ALNUM)
                 ids.append(rows.column("doc_id"))
+                tags.append(rows.column("tag"))
                 firsts.append(first)
                 hashes.append(h)
                 size += len(buf)
                 if size >= INDEX_BYTES:
-                    yield _index_row(ids, firsts, hashes)
-                    ids, firsts, hashes, size = [], [], [], 0
+                    yield _index_row(ids, tags, firsts, hashes)
+                    ids, tags, firsts, hashes, size = [], [], [], [], 0
         if ids:
-            yield _index_row(ids, firsts, hashes)
+            yield _index_row(ids, tags, firsts, hashes)
 
     limit_arrow(docs.sparkSession)
-    return scratch.cut(docs.select("doc_id", "text").mapInArrow(index, INDEX), "index")
+    return scratch.cut(docs.select("doc_id", text_tag(docs["text"]).alias("tag"), "text").mapInArrow(index, INDEX), "index")
 
 
 def phrases(texts: list[str], items: list[str], window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -181,15 +182,15 @@ def find_phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW, slop:
 
 
 def contamination(docs: DataFrame, tests: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted item ids found), spans (word spans with item).
+    """Per document: doc_id, tag (hash of the text), n_words, n_hit, items (sorted item ids found), spans (word spans with item).
 
     One row per input row. ``n_hit`` counts words inside any match once.
     """
     index = build_index(narrow(docs), scratch)
     counted = (index.select("block", F.posexplode(F.arrays_zip(
-        F.col("doc_id"), F.transform(F.slice("first", 2, F.greatest(F.size("first") - 1, F.lit(0))),
+        F.col("doc_id"), F.col("tag"), F.transform(F.slice("first", 2, F.greatest(F.size("first") - 1, F.lit(0))),
                                      lambda e, i: e - F.get("first", i)).alias("n"))).alias("ord", "d"))
-        .select("block", "ord", F.col("d.doc_id").alias("doc_id"), F.col("d.n").cast("long").alias("n_words")))
+        .select("block", "ord", F.col("d.doc_id").alias("doc_id"), F.col("d.tag").alias("tag"), F.col("d.n").cast("long").alias("n_words")))
     hits = (find_phrases(index, tests, window).groupBy("block", "ord")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end", "item"))).alias("spans")))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
@@ -200,5 +201,5 @@ def contamination(docs: DataFrame, tests: DataFrame, scratch: Scratch, window: i
                        F.array_sort(F.array_distinct(F.col("spans.item"))).alias("items"))
     none = F.array().cast("array<string>")
     return (counted.join(hits, ["block", "ord"], "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            .select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("items", none).alias("items"), "spans"))

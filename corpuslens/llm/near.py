@@ -268,7 +268,11 @@ def _tiny_pairs(long: DataFrame, depth: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per row of ``docs``: doc_id, tag, n_shingles, component_id, kept."""
+    """Per row of ``docs``: doc_id, tag, n_shingles, component_id, kept, chosen.
+
+    ``kept``: the id is its component's. ``chosen`` also settles ids that several
+    texts share: it marks the rows of one (doc_id, tag) in each component.
+    """
     limit_arrow(docs.sparkSession)
     rows = scratch.cut(sketches(docs), "sketches")
     classes = scratch.cut(rows.filter("n > 0").groupBy("cls").agg(
@@ -329,8 +333,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         out = (rows.join(linker.labels.withColumnRenamed("node", "cls"), "cls", "left")
                .withColumn("comp", F.coalesce("comp", "cls")))
     out = out.select("doc_id", "tag", F.col("n").alias("n_shingles"), "comp")
-    least = out.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
+    # the smallest id first, null after all others
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    least = out.filter("comp is not null").groupBy("comp").agg(F.min(place).alias("low"))
     out = (out.join(least, "comp", "left")
-           .withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low"))))
+           .withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id"))))
     return out.select("doc_id", "tag", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                      (F.col("comp").isNull() | (place == F.col("low"))).alias("chosen"))

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict = {}
 
-MODULES = ("q_repeats", "q_near", "q_pii", "q_quality", "q_packing", "q_kneser", "q_decontam", "q_rules")
+MODULES = ("q_repeats", "q_near", "q_pii", "q_quality", "q_attribution", "q_licences", "q_packing", "q_kneser", "q_decontam", "q_rules")
 
 
 def query(name, sql=None):

@@ -130,7 +130,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS,
            max_word: float = MAX_WORD, bound: int = 10_000) -> DataFrame:
-    """``docs`` with struct column q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_js, word_js, base_failed, kept.
+    """Two structs: row, the columns of ``docs``, and q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_js, word_js, base_failed, kept.
 
     The references are broadcast if there are at most ``bound`` languages, and
     joined by shuffle beyond that.
@@ -154,6 +154,6 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: f
     wrd = F.when(F.col("m.n_words") >= MIN_COMMON, js_distance(F.col("counts"), F.col("ref_counts")))
     d = d.select("row", "m", failed.alias("failed"), cls.alias("class_js"), wrd.alias("word_js"))
     keep = (~F.col("failed") & (F.coalesce("class_js", F.lit(0.0)) <= max_class) & (F.coalesce("word_js", F.lit(0.0)) <= max_word))
-    return d.select("row.*", F.struct(
+    return d.select("row", F.struct(
         "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "class_js", "word_js",
         F.col("failed").alias("base_failed"), keep.alias("kept")).alias("q"))
