@@ -32,86 +32,94 @@ MIN_COMMON = 100
 MAX_CLASS = 0.30
 MAX_WORD = 0.33
 
-#: Character classes; what is in none of them is the last class.
+#: Character classes by what they hold, besides lower-case letters; what is in none of them is the last class.
+LOWER = "\\p{Ll}+"
 CLASSES = {
-    "lower": "\\p{Ll}", "upper": "\\p{Lu}", "digit": "\\p{Nd}", "space": "[ \\t-\\r]",
-    "stop": "[.,;:?'\"()!-]", "mark": "[#*$%&|<>{}\\[\\]=_/\\\\@^~+`]",
+    "upper": "\\p{Lu}", "digit": "\\p{Nd}", "space": " \\t-\\r", "stop": ".,;:?'\"()!-",
+    "mark": "#*$%&|<>{}\\[\\]=_/\\\\@^~+`",
 }
+SYMBOLS = "#*$%&|<>"
 
 
-def _class_counts(t: Column) -> list[Column]:
-    """Counts by class: what is left after the other characters are taken out."""
-    inside = [p[1:-1] if p.startswith("[") else p for p in CLASSES.values()]
-    return [F.length(F.regexp_replace(t, f"[^{p}]+", "")).cast("long") for p in inside]
+def _only(rest: Column, inside: str) -> Column:
+    return F.length(F.regexp_replace(rest, f"[^{inside}]+", "")).cast("long")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct column m: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
+def _class_counts(size: Column, rest: Column) -> list[Column]:
+    """Counts by class. ``rest`` is the text without lower-case letters, which are most of it."""
+    counts = [(size - F.length(rest)).cast("long"), *[_only(rest, p) for p in CLASSES.values()]]
+    return counts
+
+
+def _hashes(t: Column) -> Column:
+    """64-bit hashes of the words, in order."""
+    return F.array_remove(F.transform(F.split(t, SPACE + "+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
+
+def measures(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and, of the column t: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, classes, words (hashes)."""
+    t, rest = F.col("t"), F.col("rest")
     lines = F.filter(F.split(t, "\n"), lambda l: l.rlike("[^ \\t-\\r]"))
-    d = docs.withColumn("m", F.struct(t.alias("t"), words.alias("words"), lines.alias("lines")))
-    n = F.size("m.words")
-    win = F.when(n >= RUN, F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get("m.words", i + k) for k in range(RUN)])))
-    d = d.withColumn("m", F.struct("m.*", n.cast("long").alias("n_words"), win.alias("win")))
+    d = docs.select(*keep, F.length(t).alias("n_chars"), F.regexp_replace(t, LOWER, "").alias("rest"), _hashes(t).alias("words"), lines.alias("lines"))
+    n = F.size("words")
+    # five words from pairs of pairs
+    two = F.zip_with(F.slice("words", 1, n - 1), F.slice("words", 2, n - 1), lambda a, b: F.xxhash64(a, b))
+    d = d.select(*keep, "n_chars", "words", n.alias("n"), F.array(*_class_counts(F.col("n_chars"), rest)).alias("classes"),
+                 _only(rest, SYMBOLS).alias("n_symbols"),
+                 (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+                 F.when(n >= RUN, two).alias("two"))
+    m = F.size("two")
+    four = F.zip_with(F.slice("two", 1, m - 3), F.slice("two", 3, m - 3), lambda a, b: F.xxhash64(a, b))
+    d = d.withColumn("win", F.when(m > 0, F.zip_with(four, F.slice("words", 5, m - 3), lambda a, b: F.xxhash64(a, b)))).drop("two")
     # only texts with a repeated window need to know where its occurrences are
-    repeated = F.size(F.array_distinct("m.win")) < F.size("m.win")
-    placed = F.array_sort(F.transform("m.win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn("m", F.struct("m.*", F.when(repeated, placed).alias("placed")))
-    size = F.size("m.placed")
+    repeated = F.size(F.array_distinct("win")) < F.size("win")
+    placed = F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("placed", F.when(repeated, placed)).drop("win")
+    size = F.size("placed")
     # neighbours in the order of hashes tell which occurrences are not alone
-    again = F.filter("m.placed", lambda x, k: ((k > 0) & (F.get("m.placed", k - 1)["h"] == x["h"]))
-                     | ((k < size - 1) & (F.get("m.placed", k + 1)["h"] == x["h"])))
+    again = F.filter("placed", lambda x, k: ((k > 0) & (F.get("placed", k - 1)["h"] == x["h"]))
+                     | ((k < size - 1) & (F.get("placed", k + 1)["h"] == x["h"])))
     starts = F.array_sort(F.transform(again, lambda x: x["i"]))
-    d = d.withColumn("m", F.struct(F.col("m.t").alias("t"), F.col("m.words").alias("words"), F.col("m.lines").alias("lines"),
-                                   F.col("m.n_words").alias("n_words"), F.when(F.col("m.placed").isNotNull(), starts).alias("starts")))
-    last = F.size("m.starts") - 1
-    covered = F.aggregate(F.transform("m.starts", lambda s, k: F.when(k < last, F.least(F.lit(RUN), F.get("m.starts", k + 1) - s)).otherwise(RUN)),
+    d = d.withColumn("starts", F.when(F.col("placed").isNotNull(), starts)).drop("placed")
+    last = F.size("starts") - 1
+    covered = F.aggregate(F.transform("starts", lambda s, k: F.when(k < last, F.least(F.lit(RUN), F.get("starts", k + 1) - s)).otherwise(RUN)),
                           F.lit(0), lambda a, x: a + x)
-    return d.withColumn("m", F.struct(
-        F.col("m.n_words").alias("n_words"),
-        F.length(F.array_join("m.words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("m.t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("m.lines") - F.size(F.array_distinct("m.lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.length("m.t").cast("long").alias("n_chars"),
-        F.array(*_class_counts(F.col("m.t"))).alias("classes"),
-        F.col("m.words").alias("words")))
+    space = F.get("classes", F.lit(1 + list(CLASSES).index("space")))
+    return d.select(*keep, F.struct(
+        F.col("n").cast("long").alias("n_words"), (F.col("n_chars") - space).alias("word_chars"), "n_symbols", "n_dup_lines",
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.col("n_chars").cast("long").alias("n_chars"),
+        "classes", "words").alias("m"))
 
 
 def _key(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("\x00none"))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per language (lang_key): class counts with the rest last, its TOP words and their counts with the rest last.
+def references(docs: DataFrame) -> DataFrame:
+    """Per lang_key of ``docs`` (lang_key, t): class counts with the rest last, its TOP words (hashes) and their counts with the rest last.
 
     Counts are combined in every task before they move; a language's words meet
-    as one row each.
+    as one row each, the TOP of every slice before the TOP of all.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(_key(F.col(lang)).alias("lang_key"), t.alias("t"))
-    k = len(CLASSES)
-    sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("t")))]
-    classes = (d.groupBy("lang_key").agg(F.sum(F.length("t").cast("long")).alias("all"), *sums)
+    t = F.col("t")
+    d = docs.select("lang_key", F.length(t).alias("size"), F.regexp_replace(t, LOWER, "").alias("rest"), F.regexp_count(t, F.lit("[^ \\t-\\r]+")).alias("n"))
+    k = len(CLASSES) + 1
+    sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("size"), F.col("rest")))]
+    classes = (d.groupBy("lang_key").agg(F.sum("size").alias("all"), F.sum("n").alias("total"), *sums)
                .withColumn("rest", F.col("all") - sum(F.col(f"c{i}") for i in range(k)))
-               .select("lang_key", F.array(*[F.col(f"c{i}") for i in range(k)], "rest").alias("ref_classes")))
-    words = (d.select("lang_key", F.explode(F.split(F.lower("t"), SPACE + "+")).alias("w")).filter("w <> ''")
-             .groupBy("lang_key", "w").agg(F.count("*").alias("c")))
-    by_count = Window.partitionBy("lang_key", "salt").orderBy(F.col("c").desc(), "w")
-    # the TOP of every slice first, so that no task ranks a whole vocabulary
-    few = (words.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(64)).cast("int"))
-           .withColumn("r", F.row_number().over(by_count)).filter(F.col("r") <= TOP))
-    best = Window.partitionBy("lang_key").orderBy(F.col("c").desc(), "w")
-    top = (few.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TOP)
+               .select("lang_key", "total", F.array(*[F.col(f"c{i}") for i in range(k)], "rest").alias("ref_classes")))
+    words = docs.select("lang_key", F.explode(_hashes(t)).alias("w")).groupBy("lang_key", "w").agg(F.count("*").alias("c"))
+    slice_order = Window.partitionBy("lang_key", "salt").orderBy(F.col("c").desc(), "w")
+    few = (words.withColumn("salt", F.pmod("w", F.lit(64)).cast("int"))
+           .withColumn("r", F.row_number().over(slice_order)).filter(F.col("r") <= TOP))
+    order = Window.partitionBy("lang_key").orderBy(F.col("c").desc(), "w")
+    top = (few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TOP)
            .groupBy("lang_key").agg(F.array_sort(F.collect_list(F.struct("r", "w", "c"))).alias("top")))
-    total = words.groupBy("lang_key").agg(F.sum("c").alias("total"))
-    return (classes.join(top, "lang_key", "left").join(total, "lang_key", "left")
-            .withColumn("ref_words", F.coalesce(F.col("top.w"), F.array().cast("array<string>")))
-            .withColumn("ref_counts", F.coalesce(F.col("top.c"), F.array().cast("array<bigint>")))
-            .withColumn("ref_counts", F.concat("ref_counts", F.array(
-                F.coalesce("total", F.lit(0).cast("long")) - F.aggregate("ref_counts", F.lit(0).cast("long"), lambda a, x: a + x))))
-            .select("lang_key", "ref_classes", "ref_words", "ref_counts"))
+    none = F.array().cast("array<bigint>")
+    d = (classes.join(top, "lang_key", "left")
+         .select("lang_key", "total", "ref_classes", F.coalesce("top.w", none).alias("ref_words"), F.coalesce("top.c", none).alias("c")))
+    rest = F.col("total") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("lang_key", "ref_classes", "ref_words", F.concat("c", F.array(rest)).alias("ref_counts"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -135,14 +143,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: f
     The references are broadcast if there are at most ``bound`` languages, and
     joined by shuffle beyond that.
     """
-    ref = references(docs, text, lang)
+    names = docs.columns
+    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"), _key(docs[lang]).alias("lang_key"))
+    ref = references(inner.select("lang_key", "t"))
     if docs.select(F.approx_count_distinct(lang)).first()[0] <= bound:
         ref = F.broadcast(ref)
-    names = docs.columns
-    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("text"), _key(docs[lang]).alias("lang_key"))
-    d = measures(inner).join(ref, "lang_key", "left")
+    d = measures(inner, "row", "lang_key").join(ref, "lang_key", "left")
     classes = F.concat("m.classes", F.array(F.col("m.n_chars") - F.aggregate("m.classes", F.lit(0).cast("long"), lambda a, x: a + x)))
-    common = F.filter(F.transform("m.words", lambda w: F.array_position(F.col("ref_words"), F.lower(w)).cast("int")), lambda k: k > 0)
+    common = F.array_remove(F.transform("m.words", lambda w: F.array_position(F.col("ref_words"), w).cast("int")), F.lit(0))
     d = d.select("row", "m", "ref_classes", "ref_counts", classes.alias("classes"), common.alias("common"))
     hits = F.size("common")
     counts = F.transform(F.sequence(F.lit(1), F.size("ref_counts") - 1),
