@@ -26,7 +26,7 @@ RUN = 5
 #: Common words of a language that form the word histogram.
 TOP = 24
 #: Documents with fewer characters (words) are not judged by the class (word) histogram.
-MIN_CHARS = 100
+MIN_CHARS = 200
 MIN_COMMON = 100
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a document that stays.
 MAX_CLASS = 0.30
