@@ -162,6 +162,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: f
     wrd = F.when(F.col("m.n_words") >= MIN_COMMON, js_distance(F.col("counts"), F.col("ref_counts")))
     d = d.select("row", "m", failed.alias("failed"), cls.alias("class_js"), wrd.alias("word_js"))
     keep = (~F.col("failed") & (F.coalesce("class_js", F.lit(0.0)) <= max_class) & (F.coalesce("word_js", F.lit(0.0)) <= max_word))
-    return d.select("row", F.struct(
-        "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "class_js", "word_js",
-        F.col("failed").alias("base_failed"), keep.alias("kept")).alias("q"))
+    q = F.struct("m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "class_js", "word_js",
+                 F.col("failed").alias("base_failed"), keep.alias("kept"))
+    # a filter on q must not be pushed below: it would repeat every expression in itself, many times over
+    return d.select("row", F.explode(F.array(q)).alias("q"))
