@@ -28,6 +28,20 @@ TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
+#: Tables of stages whose results have been written and read again.
+_past: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str, docs: DataFrame) -> Scratch:
+    """A folder for a stage; those of earlier stages go, unless ``docs`` still reads them."""
+    for s in list(_past):
+        if s.spark is spark and not s.feeds(docs):
+            s.drop()
+            _past.remove(s)
+    _past.append(Scratch(spark, name))
+    return _past[-1]
+
+
 def _held(docs: DataFrame) -> DataFrame:
     """row (all columns), doc_key and tag."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), id_key(docs["doc_id"].cast("long")).alias("doc_key"),
@@ -41,7 +55,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; texts without words are no duplicates and stay."""
-    keep = (near_duplicates(docs, Scratch(spark, "stage-near")).filter("chosen and n_shingles > 0")
+    keep = (near_duplicates(docs, _scratch(spark, "stage-near", docs)).filter("chosen and n_shingles > 0")
             .select(id_key(F.col("doc_id")).alias("doc_key"), "tag").distinct())
     held = _held(docs).withColumn("words", F.coalesce(F.col("row.text"), F.lit("")).rlike("[^ \\t-\\r]"))
     one = held.filter("words").dropDuplicates(["doc_key", "tag"]).join(keep, ["doc_key", "tag"], "left_semi")
@@ -51,14 +65,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     tests = table(spark, sf_dir, "benchmark")
-    hit = (contamination(docs, tests, Scratch(spark, "stage-decontam")).filter("n_hit > 0")
+    hit = (contamination(docs, tests, _scratch(spark, "stage-decontam", docs)).filter("n_hit > 0")
            .select(id_key(F.col("doc_id")).alias("doc_key"), "tag").distinct())
     return _held(docs).join(hit, ["doc_key", "tag"], "left_anti").select("row.*")
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    found = (personal_data(docs, Scratch(spark, "stage-pii")).filter(F.size("every") > 0)
+    found = (personal_data(docs, _scratch(spark, "stage-pii", docs)).filter(F.size("every") > 0)
              .select(id_key(F.col("doc_id")).alias("doc_key"), "tag", "every").dropDuplicates(["doc_key", "tag"]))
     held = _held(docs).join(found, ["doc_key", "tag"], "left")
     text = F.when(F.col("every").isNull(), F.col("row.text")).otherwise(redact(F.col("row.text"), F.col("every")))
@@ -77,7 +91,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return pack(docs, public_tokenizers.path(TOKENIZER), Scratch(spark, "stage-packing"))
+    return pack(docs, public_tokenizers.path(TOKENIZER), _scratch(spark, "stage-packing", docs))
 
 
 STAGES = [

@@ -202,6 +202,7 @@ class Scratch:
         ensure_checkpoint_dir(spark)
         self.spark = spark
         self.base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.labels: set[str] = set()
         atexit.register(self._quietly)
 
     def path(self, label: str) -> str:
@@ -210,9 +211,22 @@ class Scratch:
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """Write and read back: lineage ends here, and a lost executor costs no earlier work."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(label))
+        self.labels.add(label)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def keep(self, *labels: str) -> None:
+        """Drop all tables but these."""
+        for label in list(self.labels):
+            if label not in labels:
+                self.drop(label)
+
+    def feeds(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads a table of this folder."""
+        folder = self.base.rsplit("/", 1)[-1]
+        return any(f"/{folder}/" in f for f in df.inputFiles())
+
     def drop(self, label: str = "") -> None:
+        self.labels.discard(label)
         sc = self.spark.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(self.path(label) if label else self.base)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

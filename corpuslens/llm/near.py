@@ -327,10 +327,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
                .select("cls", "n", "h", "path", F.explode(F.slice("first", at + 1, F.size("first"))).alias("last"))
                .select("cls", "n", "h", "last", F.xxhash64("path", "last").alias("path")).withColumn("key", F.col("path")))
         inv = scratch.cut(inv, f"lists-{depth + 1}")
-    if linker.labels is None:
+    kept = None
+    if linker.labels is not None:
+        kept = scratch.cut(linker.labels, "result")
+    scratch.keep("sketches", "result")  # all that the answer reads
+    if kept is None:
         out = rows.withColumn("comp", F.col("cls"))
     else:
-        out = (rows.join(linker.labels.withColumnRenamed("node", "cls"), "cls", "left")
+        out = (rows.join(kept.withColumnRenamed("node", "cls"), "cls", "left")
                .withColumn("comp", F.coalesce("comp", "cls")))
     out = out.select("doc_id", "tag", F.col("n").alias("n_shingles"), "comp")
     # the smallest id first, null after all others
