@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions.ranking import avg_rank
-from corpuslens.functions.tails import chi2_upper, nemenyi_q, normal_two_sided, t_two_sided
+from corpuslens.functions.tails import chi2_upper, nemenyi_value, normal_two_sided, t_two_sided
 
 def pearson(x: str, y: str):
     """Correlation aggregate that is null, not an error, when a side is constant."""
@@ -111,9 +111,10 @@ def friedman(scored: DataFrame, value="value", descending=True) -> DataFrame:
 
 
 def nemenyi_cd(scored: DataFrame) -> DataFrame:
-    """(k, n, q, cd): one row. ``k`` outside the table gives a null."""
+    """(k, n, q, cd): one row, for any number of treatments from two on (null below)."""
     c = scored.agg(F.countDistinct("treatment").alias("k"), F.countDistinct("dataset_id").alias("n"))
-    return c.withColumn("q", nemenyi_q(F.col("k"))).withColumn(
+    q = nemenyi_value(c.first()["k"])  # one number decides on the critical value
+    return c.withColumn("q", F.lit(q).cast("double")).withColumn(
         "cd", F.col("q") * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n"))))
 
 
