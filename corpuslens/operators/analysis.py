@@ -82,7 +82,7 @@ def max_correlation(matrix: DataFrame, cat: DataFrame) -> DataFrame:
         F.max(F.when(F.col("og") == "new", F.col("rho"))).alias("max_abs_rho_new"))
 
 
-def linkage_clusters(matrix: DataFrame, features: DataFrame, cut_at=CUT, max_rounds=60) -> DataFrame:
+def linkage_clusters(matrix: DataFrame, features: DataFrame, cut_at=CUT) -> DataFrame:
     """(feature, cluster_id): average linkage on 1 - |rho|, cut at ``cut_at``.
 
     Every round merges all pairs that are each other's nearest within the cut.
@@ -93,7 +93,7 @@ def linkage_clusters(matrix: DataFrame, features: DataFrame, cut_at=CUT, max_rou
                                      F.greatest(F.lit(0.0), 1 - F.col("rho")).alias("d"),
                                      F.lit(1).alias("na"), F.lit(1).alias("nb")))
     member = features.select("feature", F.col("feature").alias("c"))
-    for _ in range(max_rounds):
+    while True:  # every round merges a pair at least
         near = d.filter(F.col("d") <= cut_at).groupBy("a").agg(F.min(F.struct(
             "d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("m"))
         # mutual choices: both ends picked the same (d, lo, hi)

@@ -8,6 +8,7 @@ is the mean of the leaf it ends in.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -65,7 +66,7 @@ def bootstrap(y: DataFrame, trees: int, seed=SEED) -> DataFrame:
 
 
 def grow(x: DataFrame, y: DataFrame, n_y: int, rows: DataFrame, mtry: dict, min_leaf: dict,
-         allowed: DataFrame | None = None, max_depth=12, seed=SEED):
+         allowed: DataFrame | None = None, max_depth: int | None = None, seed=SEED):
     """Grow all trees. Returns (members, splits).
 
     ``x`` (dataset_id, feature, value); ``y`` (cfg, holdout_id, dataset_id, y0..);
@@ -85,7 +86,11 @@ def grow(x: DataFrame, y: DataFrame, n_y: int, rows: DataFrame, mtry: dict, min_
     leaf_of = F.create_map(*[F.lit(v) for c, k in min_leaf.items() for v in (c, float(k))])
     one = feats.groupBy(F.lit(1).alias("_o")).agg(F.collect_list("feature").alias("_fs"))
     splits = None
-    for depth in range(max_depth):
+    for depth in itertools.count():
+        if depth == max_depth:
+            break
+        if depth > 61:
+            raise RuntimeError("a tree is deeper than 61 levels; node numbers end there")
         train = members.filter("live and w > 0").join(y, ["cfg", "holdout_id", "dataset_id"])
         nodes = train.groupBy(*NODE).agg(F.sum("w").alias("W")).filter(F.col("W") >= 2 * leaf_of[F.col("cfg")])
         cand = nodes.withColumn("_o", F.lit(1)).join(one, "_o").select(*NODE, F.explode("_fs").alias("feature"))

@@ -142,7 +142,7 @@ def nc_tfidf_cv(docs: DataFrame, k=5, min_df=2) -> DataFrame:
 
 # ------------------------------------------------------------------ small trees on words
 
-def bow_tree(terms: DataFrame, assign: DataFrame, depth=1, min_df=2, max_terms=5000) -> DataFrame:
+def bow_tree(terms: DataFrame, assign: DataFrame, depth=1, min_df=2, max_terms: int | None = None) -> DataFrame:
     """(dataset_id, cfg, doc_id, label, pred): gini tree of ``depth`` on term presence,
     balanced class weights, grown level by level for all corpora and folds.
 
@@ -159,7 +159,9 @@ def bow_tree(terms: DataFrame, assign: DataFrame, depth=1, min_df=2, max_terms=5
     wt = cls.join(tot, key).select(*key, "label", (F.col("n") / (F.col("k") * F.col("nl"))).alias("w"))
     df = tr.join(pres, ["dataset_id", "doc_id"]).groupBy(*key, "term").agg(
         F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
-    vocab = top_k(df, key, [F.col("df").desc(), F.col("term")], max_terms, F.col("term")).select(*key, "term")
+    if max_terms is not None:
+        df = top_k(df, key, [F.col("df").desc(), F.col("term")], max_terms, F.col("term"))
+    vocab = df.select(*key, "term")
     known = assign.select(*key, "doc_id").join(pres.join(
         vocab.select("dataset_id", "term").distinct(), ["dataset_id", "term"], "left_semi"), ["dataset_id", "doc_id"]).join(
         vocab, [*key, "term"], "left_semi")

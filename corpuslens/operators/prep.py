@@ -107,9 +107,11 @@ def plan_total(plan: DataFrame, min_total=MIN_TOTAL) -> DataFrame:
     return _with_totals(plan).filter(F.col("_n") >= min_total).drop("_n", "_k", "_min")
 
 
-def plan_cap(plan: DataFrame, cap=CAP, proportional=False) -> DataFrame:
-    """Stratified cap: floor of the class share, leftover places by largest
+def plan_cap(plan: DataFrame, cap: int | None = None, proportional=False) -> DataFrame:
+    """Stratified cap (none by default; CAP is the usual figure): floor of the class share, leftover places by largest
     remainder. ``proportional`` is the fallback max(1, round(count * cap / n))."""
+    if cap is None:
+        return plan
     t = _with_totals(plan)
     exact = F.col("cnt") * F.lit(float(cap)) / F.col("_n")
     over = F.col("_n") > cap
@@ -142,7 +144,7 @@ def gate(raw: DataFrame, plan: DataFrame, min_total=MIN_TOTAL, min_class=MIN_CLA
 
 
 def prepare_plan(counts: DataFrame, min_total=MIN_TOTAL, min_class=MIN_CLASS, share=MIN_SHARE,
-                 cap=CAP) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """Final quota per class after all rules, in the rules' order."""
     plan = plan_floor(plan_rare(counts, min_class), share)
     plan = plan_cap(plan_total(plan_rare(plan, min_class), min_total), cap)

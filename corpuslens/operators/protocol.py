@@ -16,7 +16,6 @@ from corpuslens.functions.stats import pearson
 # Where a provenance text names its source.
 HUB_PATTERN = r"HF dataset ([\p{L}\p{N}_./-]+)"
 LOCAL_PATTERN = r"local files? \[?'?(/[^,'\]]+)"
-REST_LENGTH = 40
 
 
 def self_groups(datasets: DataFrame) -> DataFrame:
@@ -31,7 +30,7 @@ def source_groups(manifest: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def source_key(provenance: str = "provenance"):
-    """Hub id, else folder of the local file, else the start of the text."""
+    """Hub id, else folder of the local file, else the whole text."""
     c = F.col(provenance)
     folder = F.regexp_extract(F.regexp_extract(c, LOCAL_PATTERN, 1), r"^(.*)/[^/]*$", 1)
     return (
@@ -39,7 +38,7 @@ def source_key(provenance: str = "provenance"):
                F.concat(F.lit("hf:"), F.lower(F.regexp_extract(c, HUB_PATTERN, 1))))
         .when(c.rlike(LOCAL_PATTERN),
               F.concat(F.lit("localdir:"), F.when(folder == "", "/").otherwise(folder)))
-        .otherwise(F.concat(F.lit("unk:"), F.substring(c, 1, REST_LENGTH)))
+        .otherwise(F.concat(F.lit("unk:"), c))
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.ranking import top_k
+from corpuslens.functions.ranking import spread_row_number, top_k
 
 
 def _ratio(a, b):
@@ -118,9 +118,9 @@ def doc_terms(docs: DataFrame, tokens: Column, keys=("dataset_id", "doc_id", "la
         F.count(F.lit(1)).alias("tf"))
 
 
-def term_mutual_information(docs: DataFrame, k=1000) -> DataFrame:
-    """Plug-in mutual information (nats) of term presence and label over the ``k``
-    most frequent terms.
+def term_mutual_information(docs: DataFrame, k: int | None = None) -> DataFrame:
+    """Plug-in mutual information (nats) of term presence and label over all terms,
+    or the ``k`` most frequent ones.
 
     This is the contingency-table estimator, not a nearest-neighbour one on
     TF-IDF weights, so the values differ from that estimator's.
@@ -128,8 +128,9 @@ def term_mutual_information(docs: DataFrame, k=1000) -> DataFrame:
     per_class = doc_terms(docs, tx.term_tokens(F.col("text"))).groupBy("dataset_id", "term", "label").agg(
         F.count(F.lit(1)).alias("n11"), F.sum("tf").alias("tf"))
     terms = per_class.groupBy("dataset_id", "term").agg(F.sum("tf").alias("tf"), F.sum("n11").alias("df"))
-    top = top_k(terms, ["dataset_id"], [F.col("tf").desc(), F.col("term")], k, F.col("term")).select(
-        "dataset_id", "term", "df")
+    if k is not None:
+        terms = top_k(terms, ["dataset_id"], [F.col("tf").desc(), F.col("term")], k, F.col("term"))
+    top = terms.select("dataset_id", "term", "df")
     cls = docs.groupBy("dataset_id", "label").agg(F.count(F.lit(1)).alias("nl"))
     cls = cls.withColumn("n", F.sum("nl").over(Window.partitionBy("dataset_id")))
     j = per_class.select("dataset_id", "term", "label", "n11").join(top, ["dataset_id", "term"]).join(
@@ -158,13 +159,13 @@ def manifest_flags(manifest: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- subwords
 
-MAX_WORD = 100
 BASIC = r"[^\p{P}\p{S}]+|[\p{P}\p{S}]"
 
 
-def subword_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def subword_pieces(words: DataFrame, vocab: DataFrame, max_word: int | None = None) -> DataFrame:
     """(tag, word, pieces, unk) by greedy longest match against a vocabulary table
-    (tag, piece, initial). A part without a match makes the part one unknown piece.
+    (tag, piece, initial). A part without a match, or longer than ``max_word`` if
+    that is given, is one unknown piece.
 
     Each distinct part meets the vocabulary once, through one equi-join of its
     substrings; the greedy walk over the longest matches then stays inside the
@@ -172,12 +173,13 @@ def subword_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     parts = words.select("word", F.explode(F.regexp_extract_all("word", F.lit(BASIC), F.lit(0))).alias("part"))
     distinct = parts.select("part").distinct()
+    if max_word is not None:
+        distinct = distinct.filter(F.length("part") <= max_word)
     size = F.length("part")
     # two rows: no substring longer than the longest piece of its kind is made
     longest = vocab.groupBy("initial").agg(F.max(F.length("piece")).alias("longest"))
     subs = (
-        distinct.filter(size <= MAX_WORD)
-        .select("part", F.explode(F.sequence(F.lit(1), size)).alias("pos"))
+        distinct.select("part", F.explode(F.sequence(F.lit(1), size)).alias("pos"))
         .withColumn("initial", F.col("pos") == 1)
         .join(longest, "initial")
         .select("part", "pos", "initial", F.explode(F.sequence(
@@ -210,15 +212,17 @@ def subword_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def subword_fertility(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(dataset_id, tag, fertility, continued, unk): weighted by word counts."""
+    """(dataset_id, tag, fertility, continued, unk): weighted by word counts; 0 without words."""
     counts = token_counts(docs, F.filter(F.split("text", tx.WS + "+"), lambda w: w != ""), out="word")
     pieces = subword_pieces(counts.select("word").distinct(), vocab)
     j = counts.join(pieces, "word")
     n = F.sum("n")
-    return j.groupBy("dataset_id", "tag").agg(
+    every = docs.select("dataset_id").distinct().join(F.broadcast(vocab.select("tag").distinct()))  # a few vocabularies
+    rates = j.groupBy("dataset_id", "tag").agg(
         (F.sum(F.col("n") * F.col("pieces")) / n).alias("fertility"),
         (F.sum(F.when(F.col("pieces") >= 2, F.col("n")).otherwise(0)) / n).alias("continued"),
         (F.sum(F.when(F.col("unk") == 1, F.col("n")).otherwise(0)) / n).alias("unk"))
+    return every.join(rates, ["dataset_id", "tag"], "left").fillna(0.0)
 
 
 def fertility_gap(fert: DataFrame, a: str, b: str) -> DataFrame:
@@ -306,10 +310,11 @@ def class_js(docs: DataFrame) -> DataFrame:
 
 
 def corpus_js(docs: DataFrame) -> DataFrame:
-    """ch_js_class_to_corpus: mean divergence of a class from the whole corpus."""
+    """ch_js_class_to_corpus: mean divergence of a class from the whole corpus; 0 without repeated terms."""
     per = class_terms(docs).groupBy("dataset_id", "label").agg(
         (1 - F.sum(_js_shared(F.col("p"), F.col("q")))).alias("js"))
-    return per.groupBy("dataset_id").agg(F.avg("js").alias("ch_js_class_to_corpus"))
+    out = per.groupBy("dataset_id").agg(F.avg("js").alias("ch_js_class_to_corpus"))
+    return docs.select("dataset_id").distinct().join(out, "dataset_id", "left").fillna(0.0)
 
 
 def vocab_jaccard(docs: DataFrame) -> DataFrame:
@@ -329,9 +334,19 @@ def vocab_jaccard(docs: DataFrame) -> DataFrame:
     return docs.select("dataset_id").distinct().join(out, "dataset_id", "left").fillna(0.0)
 
 
-def zipf_slope(docs: DataFrame, k=1000) -> DataFrame:
-    """ch_zipf_slope: slope of log10 frequency on log10 place over the top terms."""
+def zipf_slope(docs: DataFrame, k: int | None = None) -> DataFrame:
+    """ch_zipf_slope: slope of log10 frequency on log10 place over all terms, or the ``k`` most frequent ones.
+
+    Terms of one frequency take the places after all more frequent ones, in any
+    order, so frequencies are counted first and only their terms are numbered.
+    """
     cnt = token_counts(docs, tx.word_tokens(F.col("text")), out="term")
-    top = top_k(cnt, ["dataset_id"], [F.col("n").desc(), F.col("term")], k, F.col("term"), out="place")
+    above = Window.partitionBy("dataset_id").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    base = cnt.groupBy("dataset_id", "n").agg(F.count(F.lit(1)).alias("c")).select(
+        "dataset_id", "n", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("base"))
+    top = spread_row_number(cnt.withColumn("_h", F.md5("term")), ["dataset_id", "n"], "_h", "_i").join(
+        base, ["dataset_id", "n"]).withColumn("place", F.col("base") + F.col("_i"))
+    if k is not None:
+        top = top.filter(F.col("place") <= k)
     slope = top.groupBy("dataset_id").agg(F.regr_slope(F.log10("n"), F.log10("place")).alias("ch_zipf_slope"))
     return docs.select("dataset_id").distinct().join(slope, "dataset_id", "left").fillna(0.0)

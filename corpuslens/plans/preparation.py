@@ -11,7 +11,7 @@ from corpuslens.session import cut
 from corpuslens.sources import bindings as b
 
 # thresholds that make every rule fire on the given tables
-RULES = dict(min_total=20, min_class=3, share=0.2, cap=200)
+RULES = dict(min_total=20, min_class=3, share=0.2)
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 CLEAN_SQL = b.DOCS_SQL + rf""",
@@ -62,7 +62,10 @@ cp1 AS (
 final AS (
   SELECT dataset_id, label, CAST(CASE WHEN n > 200 THEN floor(exact) + CASE WHEN by_rem <= left_over THEN 1 ELSE 0 END
          ELSE cnt END AS BIGINT) AS cnt FROM cp1
-),
+)"""
+WHOLE_SQL = """
+final AS (SELECT dataset_id, label, cnt FROM sized)"""
+GATE_SQL = """
 gate AS (
   SELECT c.dataset_id, coalesce(n, 0) AS n, coalesce(k, 0) AS n_classes, coalesce(mn, 0) AS min_class,
          CASE WHEN coalesce(k, 0) < 2 THEN 'fewer than two classes' WHEN n < 20 THEN 'too few rows'
@@ -83,7 +86,7 @@ picked AS (
 taken AS (SELECT dataset_id, doc_id, label, text FROM picked WHERE rn <= cnt)"""
 
 
-PREPARED_SQL = [CLEAN_SQL, RARE_SQL, FLOOR_SQL, CAP_SQL, _pick("final"), """
+PREPARED_SQL = [CLEAN_SQL, RARE_SQL, FLOOR_SQL, WHOLE_SQL, GATE_SQL, _pick("final"), """
 prepared AS (
   SELECT dataset_id, doc_id, text,
          CAST(dense_rank() OVER (PARTITION BY dataset_id ORDER BY label) - 1 AS INTEGER) AS label
@@ -117,7 +120,7 @@ def minority_floor(spark, sf):
     return prep.apply_quota(c, plan).select("dataset_id", "doc_id", "label")
 
 
-@query("stratified_cap", cte(*PREPARED_SQL[:-1], select="SELECT dataset_id, doc_id, label FROM taken"))
+@query("stratified_cap", cte(CLEAN_SQL, RARE_SQL, FLOOR_SQL, CAP_SQL, _pick("final"), select="SELECT dataset_id, doc_id, label FROM taken"))
 def stratified_cap(spark, sf):
     c = cut(prep.clean_ids(b.docs(spark, sf)))
     counts = prep.class_counts(c)
@@ -139,11 +142,11 @@ def proportional_cap(spark, sf):
         "dataset_id", "doc_id", "label")
 
 
-@query("rule_gate", cte(*PREPARED_SQL[:4], select="SELECT *, reason = 'kept' AS kept FROM gate"))
+@query("rule_gate", cte(*PREPARED_SQL[:5], select="SELECT *, reason = 'kept' AS kept FROM gate"))
 def rule_gate(spark, sf):
     counts = prep.class_counts(prep.clean_ids(b.docs(spark, sf)))
     plan = prep.plan_floor(prep.plan_rare(counts, 3), 0.2)
-    plan = prep.plan_cap(prep.plan_total(prep.plan_rare(plan, 3), 20), 200)
+    plan = prep.plan_total(prep.plan_rare(plan, 3), 20)
     return prep.gate(counts, plan, 20, 3, 0.2)
 
 
@@ -196,7 +199,7 @@ def value_map(spark, sf):
         "doc_id", prep.value_map(F.col("quality"), {0: "low", 1: "high"}).alias("quality_name"),
         prep.value_map(F.col("toxic"), {1: "toxic"}).alias("toxic_name"),
         prep.to_number(F.col("source")).alias("bad_number"),
-        prep.to_number(F.substring("source", 4, 100)).alias("source_number"))
+        prep.to_number(F.col("source").substr(F.lit(4), F.length("source"))).alias("source_number"))
 
 
 # groups that occur in the given texts, next to the fixed ones

@@ -231,7 +231,7 @@ k AS (
       THEN 'hf:' || lower(regexp_extract(provenance, 'HF dataset ([\p{L}\p{N}_./-]+)', 1))
     WHEN regexp_matches(provenance, 'local files? \[?''?(/[^,''\]]+)')
       THEN 'localdir:' || regexp_extract(regexp_extract(provenance, 'local files? \[?''?(/[^,''\]]+)', 1), '^(.*)/[^/]*$', 1)
-    ELSE 'unk:' || substr(provenance, 1, 40) END AS source_key FROM m)
+    ELSE 'unk:' || provenance END AS source_key FROM m)
 SELECT source_key, count(DISTINCT source) AS n_sources,
        array_to_string(list_sort(list_distinct(list(source))), ',') AS sources
 FROM k GROUP BY 1 HAVING count(DISTINCT source) > 1""")

@@ -127,8 +127,7 @@ def word_list_rate(spark, sf):
 @query("term_mi", cte(b.DOCS_SQL, f"""
 raw AS (SELECT dataset_id, doc_id, label, unnest({TERMS}) AS term FROM docs),
 tops AS (
-  SELECT dataset_id, term FROM raw GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, term) <= 1000
+  SELECT DISTINCT dataset_id, term FROM raw
 ),
 pres AS (SELECT DISTINCT dataset_id, term, doc_id, label FROM raw SEMI JOIN tops USING (dataset_id, term)),
 tl AS (SELECT dataset_id, term, label, count(*) AS n11 FROM pres GROUP BY ALL),
@@ -180,9 +179,10 @@ wc AS (SELECT dataset_id, word, count(*) AS n FROM (
 parts AS (SELECT word, unnest(regexp_extract_all(word, '[^\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]')) AS part
           FROM (SELECT DISTINCT word FROM wc)),
 dp AS (SELECT DISTINCT part FROM parts),
+dpi AS (SELECT part, unnest(range(1, length(part) + 1)) AS i FROM dp),
 best AS (
   SELECT tag, part, i AS pos, max(l) AS l
-  FROM dp JOIN range(1, 101) a(i) ON i <= length(part) AND length(part) <= 100
+  FROM dpi
   JOIN range(1, 33) c(l) ON i + l - 1 <= length(part)
   JOIN vocab v ON v.piece = substr(part, CAST(i AS BIGINT), CAST(l AS BIGINT)) AND v.initial = (i = 1)
   GROUP BY ALL
@@ -347,7 +347,7 @@ def vocab_jaccard(spark, sf):
 
 @query("zipf_slope", cte(CLASS_SQL, """
 top AS (SELECT dataset_id, term, sum(n) AS f, row_number() OVER (PARTITION BY dataset_id ORDER BY sum(n) DESC, term) AS r
-        FROM cnt GROUP BY 1, 2 QUALIFY r <= 1000)""",
+        FROM cnt GROUP BY 1, 2)""",
                          select=f"SELECT dataset_id, {rd('regr_slope(log10(f), log10(r))', 'ch_zipf_slope')} FROM top GROUP BY 1"))
 def zipf_slope(spark, sf):
     return _all_but(op.zipf_slope(b.docs(spark, sf)))

@@ -13,10 +13,11 @@ from corpuslens.functions.text import strip
 LANGUAGE_TAGS = {"en": "EN", "es": "ES", "pt": "PT", "fr": "FR", "ar": "AR", "it": "IT", "de": "DE"}
 
 
-def read_delimited(spark: SparkSession, path, schema: str, sep=",", header=False) -> DataFrame:
-    """Tab, semicolon or comma separated text with a declared schema; quoted fields
-    may span lines."""
-    return (spark.read.schema(schema).option("sep", sep).option("header", header).option("multiLine", True)
+def read_delimited(spark: SparkSession, path, schema: str, sep=",", header=False, multi_line=False) -> DataFrame:
+    """Tab, semicolon or comma separated text with a declared schema.
+
+    ``multi_line`` lets quoted fields span lines; such a file is read by one task."""
+    return (spark.read.schema(schema).option("sep", sep).option("header", header).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').csv(path))
 
 
@@ -49,10 +50,11 @@ def read_lexicon(spark: SparkSession, path, language: str) -> DataFrame:
     return lexicon_table(raw.withColumn("language", F.lit(language)))
 
 
-def write_datasets(docs: DataFrame, path) -> None:
+def write_datasets(docs: DataFrame, path, salts=32) -> None:
     """Clean corpora, one folder per corpus. Rows are spread before the write, so a
-    large corpus is written by many tasks."""
-    docs.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+    large corpus is written by many tasks: by corpus and one of ``salts`` numbers."""
+    spread = docs.repartition("dataset_id", F.pmod(F.xxhash64(*docs.columns), F.lit(salts)))
+    spread.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
 
 
 def write_table(df: DataFrame, path, fmt="csv") -> None:
