@@ -21,12 +21,12 @@ EMOJI = (r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}"
          r"\x{2700}-\x{27BF}\x{1F900}-\x{1F9FF}]")
 
 # The English word list of the word-list rate.
-WORD_LIST = """
-fuck fucking fucker fuckin shit shitty bitch bitches asshole ass bastard damn dumbass
-crap piss pissed dick dickhead cock pussy cunt slut whore faggot fag retard retarded
-moron idiot stupid scum trash loser freak psycho douche douchebag prick twat wanker
-bollocks
-""".split()
+WORD_LIST = [
+    "fuck", "fucking", "fucker", "fuckin", "shit", "shitty", "bitch", "bitches", "asshole", "ass", "bastard",
+    "damn", "dumbass", "crap", "piss", "pissed", "dick", "dickhead", "cock", "pussy", "cunt", "slut", "whore",
+    "faggot", "fag", "retard", "retarded", "moron", "idiot", "stupid", "scum", "trash", "loser", "freak",
+    "psycho", "douche", "douchebag", "prick", "twat", "wanker", "bollocks",
+]
 
 
 def strip(c: Column) -> Column:

@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 
 # Columns of the base groups.
 BASE_GROUPS = {
-    "simple": "n_instances n_classes log_instances instances_per_class",
-    "balance": "majority_pct minority_pct imbalance_ratio class_entropy",
-    "lexical": "vocab_size log_vocab_size vocab_per_instance type_token_ratio hapax_ratio "
-               "mean_doc_len_words std_doc_len_words mean_doc_len_chars mean_word_len",
-    "social_media": "pct_docs_with_mention mean_mentions_per_doc pct_docs_with_url pct_docs_with_hashtag "
-                    "mean_hashtags_per_doc pct_docs_with_emoji uppercase_char_ratio exclamation_rate "
-                    "elongation_rate pct_docs_with_profanity profanity_token_rate",
-    "info_theory": "mean_mutual_info max_mutual_info",
-    "separability": "centroid_cosine_gap knn1_disagreement silhouette_by_label",
-    "manifest": "is_english is_multilingual_row is_twitter",
+    "simple": [
+        "n_instances", "n_classes", "log_instances", "instances_per_class",
+    ],
+    "balance": [
+        "majority_pct", "minority_pct", "imbalance_ratio", "class_entropy",
+    ],
+    "lexical": [
+        "vocab_size", "log_vocab_size", "vocab_per_instance", "type_token_ratio", "hapax_ratio", "mean_doc_len_words",
+        "std_doc_len_words", "mean_doc_len_chars", "mean_word_len",
+    ],
+    "social_media": [
+        "pct_docs_with_mention", "mean_mentions_per_doc", "pct_docs_with_url", "pct_docs_with_hashtag",
+        "mean_hashtags_per_doc", "pct_docs_with_emoji", "uppercase_char_ratio", "exclamation_rate", "elongation_rate",
+        "pct_docs_with_profanity", "profanity_token_rate",
+    ],
+    "info_theory": [
+        "mean_mutual_info", "max_mutual_info",
+    ],
+    "separability": [
+        "centroid_cosine_gap", "knn1_disagreement", "silhouette_by_label",
+    ],
+    "manifest": [
+        "is_english", "is_multilingual_row", "is_twitter",
+    ],
 }
 # Prefixes of the new groups and of the cheap ones among them.
 NEW_GROUPS = ("tok", "hl", "ch", "lm", "cx", "ih", "mt", "lc")
@@ -77,7 +91,7 @@ def extend(base: DataFrame, new: DataFrame) -> DataFrame:
 
 def catalogue(features: DataFrame, base_groups: dict | None = None) -> DataFrame:
     """(feature, origin, grp): base columns by name, new ones by their prefix."""
-    group_of = {c: g for g, cols in (base_groups or BASE_GROUPS).items() for c in cols.split()}
+    group_of = {c: g for g, cols in (base_groups or BASE_GROUPS).items() for c in cols}
     table = F.create_map(*[F.lit(v) for kv in group_of.items() for v in kv])
     named = F.try_element_at(table, F.col("feature"))
     prefix = F.split_part("feature", F.lit("_"), F.lit(1))

@@ -316,8 +316,10 @@ def manifest_stats(docs: DataFrame) -> DataFrame:
         F.round(F.min("cnt") / F.sum("cnt"), 4).alias("minority_pct"))
 
 
-MANIFEST_COLUMNS = ("dataset_id source slice task language platform n_instances n_classes "
-                    "minority_pct provenance").split()
+MANIFEST_COLUMNS = [
+    "dataset_id", "source", "slice", "task", "language", "platform", "n_instances", "n_classes", "minority_pct",
+    "provenance",
+]
 
 
 def rule_audit(docs: DataFrame, manifest: DataFrame, min_total=MIN_TOTAL, min_class=MIN_CLASS,

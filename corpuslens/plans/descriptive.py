@@ -132,8 +132,11 @@ def cliques(spark, sf):
 BASE = ["n_instances", "log_instances", "majority_pct", "class_entropy", "mean_doc_len_chars", "std_doc_len_words"]
 NEW = ["tok_mean_k", "tok_max_k", "lm_error_mean", "lm_click_mean", "lc_view_mean", "cx_p90", "hl_share_error",
        "ch_const", "ih_gap"]
-GROUPS = {"simple": "n_instances log_instances", "balance": "majority_pct class_entropy",
-          "lexical": "mean_doc_len_chars std_doc_len_words"}
+GROUPS = {
+    "simple": ["n_instances", "log_instances"],
+    "balance": ["majority_pct", "class_entropy"],
+    "lexical": ["mean_doc_len_chars", "std_doc_len_words"],
+}
 
 
 def descriptors(spark, sf):
@@ -190,7 +193,7 @@ kept AS (SELECT feature FROM xl GROUP BY 1 HAVING count(DISTINCT value) > 1),
 xk AS (SELECT * FROM xi SEMI JOIN kept USING (feature)),
 cat AS (
   SELECT feature, CASE WHEN feature IN ({", ".join(f"'{c}'" for c in BASE)}) THEN 'base' ELSE 'new' END AS origin,
-         CASE {" ".join(f"WHEN feature IN ({', '.join(repr(c) for c in cols.split())}) THEN '{g}'" for g, cols in GROUPS.items())}
+         CASE {" ".join(f"WHEN feature IN ({', '.join(repr(c) for c in cols)}) THEN '{g}'" for g, cols in GROUPS.items())}
          ELSE split_part(feature, '_', 1) END AS grp
   FROM (SELECT DISTINCT feature FROM xl)
 )"""
