@@ -81,6 +81,7 @@ def grow(x: DataFrame, y: DataFrame, n_y: int, rows: DataFrame, mtry: dict, min_
     n_feat = feats.count()
     members = cut(rows.withColumn("node", F.lit(1).cast("long")).withColumn("live", F.lit(True)))
     y = y.withColumn("q", reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in ys])).persist()
+    own_x = not x.is_cached
     x = x.persist()
     by_cfg = F.create_map(*[F.lit(v) for c, k in mtry.items() for v in (c, k if k else n_feat)])
     leaf_of = F.create_map(*[F.lit(v) for c, k in min_leaf.items() for v in (c, float(k))])
@@ -134,6 +135,10 @@ def grow(x: DataFrame, y: DataFrame, n_y: int, rows: DataFrame, mtry: dict, min_
             (F.col("feature").isNotNull() & F.col("live")).alias("live")))
     if splits is None:
         splits = best.select(*NODE, "feature", "threshold", F.lit(0.0).alias("gain")).limit(0)
+    # all that is returned has been written out
+    y.unpersist()
+    if own_x:
+        x.unpersist()
     return members, splits
 
 
