@@ -44,6 +44,8 @@ CUT = 28
 SMALL = 32
 #: Keys that a linked pair shares at least.
 SHARE = 6
+#: Up to so many pairs (two digests of 16 bytes each) are sent to the tables that they name.
+FEW = 100_000
 #: Hubs drawn for a long list at each depth.
 TURNS = 2
 NUM, DEN = 75, 100
@@ -184,18 +186,34 @@ class _Linker:
         self.labels: DataFrame | None = None
         self.round = 0
 
+    def _only(self, table: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+        """Rows of ``table`` whose class is in ``pairs``. Few pairs (counted, at most FEW) go to the table; many leave it whole."""
+        if n > FEW:
+            return table
+        ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        return table.join(F.broadcast(ids), "cls", "left_semi")
+
     def add(self, pairs: DataFrame) -> None:
         """``pairs``: a, b (classes), na, nb (their sizes)."""
         self.round += 1
         s, r = self.scratch, self.round
-        sk = self.classes.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
-        sk2 = self.classes.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
+        pairs = s.cut(pairs, f"pairs-{r}")
+        n = pairs.count()
+        if not n:
+            return
+        few = self._only(self.classes, pairs, n)
+        sk = few.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
+        sk2 = few.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
         likely = s.cut(pairs.join(sk, "a").join(sk2, "b").mapInArrow(_estimate, "a binary, b binary, sure boolean"), f"likely-{r}")
-        ta = self.texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-        tb = self.texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
         check = likely.filter("not sure").select("a", "b")
-        sure = check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary")
-        new = s.cut(likely.filter("sure").select("a", "b").unionByName(sure), f"links-{r}")
+        n = check.count()
+        new = likely.filter("sure").select("a", "b")
+        if n:
+            few = self._only(self.texts, check, n)
+            ta = few.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
+            tb = few.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+            new = new.unionByName(check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"))
+        new = s.cut(new, f"links-{r}")
         if new.isEmpty():
             return
         edges = new if self.labels is None else new.unionByName(self.links)
