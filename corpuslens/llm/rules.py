@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram of character classes and its histogram of its language's
-most common words are compared with the language's own (the reference, counted
-over all documents of that language) by Jensen-Shannon distance. Documents
+most common words are compared with the language's own (the reference, medians
+over all different texts of that language) by Jensen-Shannon distance. Documents
 under a minimum length are not judged by a histogram that they cannot fill.
 
 Two rules stand before the divergence: at least MIN_WORDS words, and at most
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.llm.common import is_small
+
 SPACE = "[ \\t-\\r]"
 MIN_WORDS = 10
 REPEAT_PCT = 20
@@ -28,6 +30,9 @@ TOP = 24
 #: Documents with fewer characters (words) are not judged by the class (word) histogram.
 MIN_CHARS = 200
 MIN_COMMON = 100
+#: Steps of a share in the reference, and the weight of a text where words are counted.
+SCALE = 10_000
+ONE = 1 << 30
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a document that stays.
 MAX_CLASS = 0.30
 MAX_WORD = 0.33
@@ -95,30 +100,73 @@ def _key(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("\x00none"))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """Per lang_key of ``docs`` (lang_key, t): class counts with the rest last, its TOP words (hashes) and their counts with the rest last.
+def _placed(words: Column, ref_words: Column) -> Column:
+    """Places (from 1) in ``ref_words`` of the words that are in it."""
+    return F.array_remove(F.transform(words, lambda w: F.array_position(ref_words, w).cast("int")), F.lit(0))
+
+
+def _spread(placed: Column, size: Column, n_words: Column) -> Column:
+    """Counts of the places 1..``size``, with the words in none of them last; null if ``size`` is 0."""
+    hits = F.size(placed)
+    counts = F.transform(F.sequence(F.lit(1), size), lambda k: (hits - F.size(F.array_remove(placed, k))).cast("long"))
+    return F.when(size > 0, F.concat(counts, F.array((n_words - hits).cast("long"))))
+
 
-    Counts are combined in every task before they move; a language's words meet
-    as one row each, the TOP of every slice before the TOP of all.
+def references(docs: DataFrame, bound: int = 10_000, copies_bound: int = 1_000_000) -> DataFrame:
+    """Per lang_key of ``docs`` (lang_key, t): class shares with the rest last, its common words (hashes) and their shares with the rest last.
+
+    Every different text counts once, however many rows hold it, and by its
+    shares, not its length (a text too short to be judged counts less). A share
+    of the reference is the median over these texts, so what fewer than half of
+    them have, copies with small changes or a large source among it, cannot
+    decide it. The common words are the TOP that most texts hold, as far as
+    their median is not zero.
+
+    ``bound`` and ``copies_bound`` choose between broadcast and shuffle: so many
+    languages, and so many texts that occur more than once.
     """
     t = F.col("t")
-    d = docs.select("lang_key", F.length(t).alias("size"), F.regexp_replace(t, LOWER, "").alias("rest"), F.regexp_count(t, F.lit("[^ \\t-\\r]+")).alias("n"))
-    k = len(CLASSES) + 1
-    sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(_class_counts(F.col("size"), F.col("rest")))]
-    classes = (d.groupBy("lang_key").agg(F.sum("size").alias("all"), F.sum("n").alias("total"), *sums)
-               .withColumn("rest", F.col("all") - sum(F.col(f"c{i}") for i in range(k)))
-               .select("lang_key", "total", F.array(*[F.col(f"c{i}") for i in range(k)], "rest").alias("ref_classes")))
-    words = docs.select("lang_key", F.explode(_hashes(t)).alias("w")).groupBy("lang_key", "w").agg(F.count("*").alias("c"))
+    d = docs.select("lang_key", "t", F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(1), t).alias("d2"))
+    key = ["lang_key", "d1", "d2"]
+    copies = d.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1")
+    if is_small(copies, copies_bound):
+        copies = F.broadcast(copies)
+    # integers, so that the order of adding does not matter; a group of copies adds up to one text
+    share = F.floor(F.lit(ONE) / F.coalesce("copies", F.lit(1)))
+    words = (d.join(copies, key, "left").select("lang_key", share.alias("c"), F.explode(F.array_distinct(_hashes(t))).alias("w"))
+             .groupBy("lang_key", "w").agg(F.sum("c").alias("c")))
     slice_order = Window.partitionBy("lang_key", "salt").orderBy(F.col("c").desc(), "w")
     few = (words.withColumn("salt", F.pmod("w", F.lit(64)).cast("int"))
            .withColumn("r", F.row_number().over(slice_order)).filter(F.col("r") <= TOP))
     order = Window.partitionBy("lang_key").orderBy(F.col("c").desc(), "w")
     top = (few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TOP)
-           .groupBy("lang_key").agg(F.array_sort(F.collect_list(F.struct("r", "w", "c"))).alias("top")))
+           .groupBy("lang_key").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("top")).select("lang_key", F.col("top.w").alias("top")))
+    if is_small(docs.select("lang_key").distinct(), bound):
+        top = F.broadcast(top)
+
     none = F.array().cast("array<bigint>")
-    d = (classes.join(top, "lang_key", "left")
-         .select("lang_key", "total", "ref_classes", F.coalesce("top.w", none).alias("ref_words"), F.coalesce("top.c", none).alias("c")))
-    rest = F.col("total") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    d = d.join(top, "lang_key", "left").select(*key, F.coalesce("top", none).alias("top"), F.length(t).alias("size"),
+                                               F.regexp_replace(t, LOWER, "").alias("rest"), _hashes(t).alias("words"))
+    counts = _class_counts(F.col("size"), F.col("rest"))
+    d = d.select(*key, "top", "size", F.array(*counts).alias("classes"), F.size("words").alias("n"), _placed(F.col("words"), F.col("top")).alias("placed"))
+    d = d.select(*key, "top", "size", "n", F.concat("classes", F.array(F.col("size") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))).alias("classes"),
+                 _spread(F.col("placed"), F.size("top"), F.col("n")).alias("counts"))
+
+    def shares(counts, total):
+        return F.when(total > 0, F.transform(counts, lambda c: F.round(c * SCALE / total).cast("int")))
+
+    d = d.select(*key, "top", F.struct(F.least("size", F.lit(MIN_CHARS)).alias("size"), F.least("n", F.lit(MIN_COMMON)).alias("n"),
+                                       shares(F.col("classes"), F.col("size")).alias("classes"), shares(F.col("counts"), F.col("n")).alias("counts")).alias("s"))
+    d = d.groupBy(*key).agg(F.first("top").alias("top"), F.first("s").alias("s"))
+
+    def median(part, k, weight):
+        return F.round(F.coalesce(F.percentile(F.get(f"s.{part}", F.lit(k)), F.lit(0.5), F.col(f"s.{weight}")), F.lit(0.0))).cast("long")
+
+    d = d.groupBy("lang_key").agg(F.first("top").alias("top"), F.array(*[median("classes", k, "size") for k in range(len(CLASSES) + 2)]).alias("ref_classes"),
+                                  F.array(*[median("counts", k, "n") for k in range(TOP)]).alias("c"))
+    pairs = F.filter(F.arrays_zip("top", F.slice("c", F.lit(1), F.size("top")).alias("c")), lambda x: x["c"] > 0)
+    d = d.select("lang_key", "ref_classes", pairs.alias("p")).select("lang_key", "ref_classes", F.col("p.top").alias("ref_words"), F.col("p.c").alias("c"))
+    rest = F.greatest(F.lit(0).cast("long"), SCALE - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x))
     return d.select("lang_key", "ref_classes", "ref_words", F.concat("c", F.array(rest)).alias("ref_counts"))
 
 
@@ -145,17 +193,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: f
     """
     names = docs.columns
     inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"), _key(docs[lang]).alias("lang_key"))
-    ref = references(inner.select("lang_key", "t"))
+    ref = references(inner.select("lang_key", "t"), bound)
     if docs.select(F.approx_count_distinct(lang)).first()[0] <= bound:
         ref = F.broadcast(ref)
     d = measures(inner, "row", "lang_key").join(ref, "lang_key", "left")
     classes = F.concat("m.classes", F.array(F.col("m.n_chars") - F.aggregate("m.classes", F.lit(0).cast("long"), lambda a, x: a + x)))
-    common = F.array_remove(F.transform("m.words", lambda w: F.array_position(F.col("ref_words"), w).cast("int")), F.lit(0))
+    common = _placed(F.col("m.words"), F.col("ref_words"))
     d = d.select("row", "m", "ref_classes", "ref_counts", classes.alias("classes"), common.alias("common"))
-    hits = F.size("common")
-    counts = F.transform(F.sequence(F.lit(1), F.size("ref_counts") - 1),
-                         lambda k: (hits - F.size(F.array_remove("common", k))).cast("long"))
-    counts = F.when(F.size("ref_counts") > 1, F.concat(counts, F.array(F.col("m.n_words") - hits)))
+    counts = _spread(F.col("common"), F.size("ref_counts") - 1, F.col("m.n_words"))
     d = d.select("row", "m", "ref_classes", "ref_counts", "classes", counts.alias("counts"))
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > REPEAT_PCT * F.col("m.n_words"))
     cls = F.when(F.col("m.n_chars") >= MIN_CHARS, js_distance(F.col("classes"), F.col("ref_classes")))

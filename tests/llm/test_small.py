@@ -401,6 +401,23 @@ def test_rules(spark, docs, empty, rows):
     assert r.select("row.*").columns == docs.columns and judged(empty).count() == 0
 
 
+@pytest.mark.parametrize("junk", ["copies", "variants"])
+def test_rules_skewed(spark, junk):
+    """A third of the rows, copies of a text of marks or variants of it, rejects no clean document and is rejected itself."""
+    from corpuslens.llm.rules import judged
+    rng = random.Random(3)
+    common = "the of and to in is was for that with on as by at from this".split()
+    clean = [" ".join(rng.choice(common) if rng.random() < 0.6 else f"w{rng.choice('abcdefgh') * 3}{rng.choice('abcdefgh')}" for _ in range(200)) for _ in range(60)]
+    bad = [" ".join(f"the{'&' * 3}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(675))] * 30
+    if junk == "variants":
+        bad = [f"{t} {k}" for k, t in enumerate(bad)]
+    d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(clean + bad)], "doc_id long, text string, lang string")
+    r = judged(d).select("row.doc_id", "q.kept", "q.class_js", "q.word_js").collect()
+    assert len(r) == 90 and all(x.kept == (x.doc_id < 60) for x in r)
+    alone = {x.doc_id: x for x in judged(d.filter("doc_id < 60")).select("row.doc_id", "q.class_js", "q.word_js").collect()}
+    assert all(abs(x.class_js - alone[x.doc_id].class_js) < 0.1 for x in r if x.doc_id < 60)
+
+
 def test_divergence(spark):
     from corpuslens.llm.rules import js_distance
     p, q = [3, 1, 0], [0, 1, 3]
