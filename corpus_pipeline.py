@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept. All but the last return the columns of ``docs``. Columns that ``docs`` has
 besides doc_id and text travel in one struct, so their names cannot clash.
 
-Rows are told apart by (doc_id, hash of the text); a null doc_id is an id of its
+Rows are told apart by (doc_id, 128-bit hash of the text); a null doc_id is an id of its
 own. Empty tables pass through every stage.
 """
 

@@ -181,8 +181,9 @@ def limit_arrow(spark: SparkSession) -> None:
 
 
 def text_tag(text: Column) -> Column:
-    """32 bits of the text; with doc_id it tells rows apart that share an id."""
-    return F.hash(F.coalesce(text, F.lit("")))
+    """128 bits of the text (binary); with doc_id it tells rows apart that share an id, however many these are."""
+    t = F.coalesce(text, F.lit(""))
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(t), F.xxhash64(F.lit(1), t))]))
 
 
 def id_key(col: Column) -> Column:

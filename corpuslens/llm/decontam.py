@@ -31,7 +31,7 @@ TEST_BYTES = 8 << 20
 AT_ONCE = 20_000
 WINDOW = 10
 
-INDEX = "block string, doc_id array<long>, tag array<int>, first array<int>, terms binary, starts binary, positions binary"
+INDEX = "block string, doc_id array<long>, tag array<binary>, first array<int>, terms binary, starts binary, positions binary"
 FOUND = "block string, ord int, item string, start int, end int"
 
 
@@ -46,7 +46,7 @@ def _index_row(ids: list, tags: list, firsts: list, hashes: list) -> pa.RecordBa
     starts = np.append(new, len(s)).astype(np.uint32)
     doc_id = pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([
-        pa.array([uuid.uuid4().hex]), doc_id, pa.array([pa.concat_arrays(tags).to_pylist()], pa.list_(pa.int32())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())),
+        pa.array([uuid.uuid4().hex]), doc_id, pa.array([pa.concat_arrays(tags).to_pylist()], pa.list_(pa.binary())), pa.array([first.astype(np.int32)], pa.list_(pa.int32())),
         pa.array([s[new].tobytes()], pa.binary()), pa.array([starts.tobytes()], pa.binary()),
         pa.array([order.astype(np.uint32).tobytes()], pa.binary())],
         ["block", "doc_id", "tag", "first", "terms", "starts", "positions"])

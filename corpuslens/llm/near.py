@@ -50,7 +50,7 @@ FEW = 100_000
 TURNS = 2
 NUM, DEN = 75, 100
 
-SKETCH = "doc_id long, tag int, n long, cls binary, sketch binary"
+SKETCH = "doc_id long, tag binary, n long, cls binary, sketch binary"
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:

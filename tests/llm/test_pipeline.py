@@ -53,3 +53,18 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_of_one_id(spark, tmp_path):
+    """Different texts without an id, equal in 32 bits: each keeps its own fate."""
+    from corpuslens.llm.repeats import removed
+    texts = spark.range(300_000).select(F.concat_ws(" ", *[F.md5((F.col("id") * 8 + k).cast("string")) for k in range(7)], F.lit("a.b@c.org")).alias("text"))
+    two = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).orderBy("h").first().t[:2]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(None, t, None, "s", len(t)) for t in two], schema)
+    spark.createDataFrame([(1, two[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == sorted(two)
+    assert [r.text for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [two[1]]
+    again = docs.unionByName(docs.filter(F.col("text") == two[1]).withColumn("doc_id", F.lit(1).cast("long")))
+    cut = {(r.doc_id, bytes(r.kept).decode()): len(r.spans) for r in removed(again, Scratch(spark, "t"), least=50).collect()}
+    assert cut[None, two[0]] == 0
