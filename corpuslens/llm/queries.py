@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict = {}
 
-MODULES = ("q_repeats", "q_near", "q_pii", "q_quality", "q_attribution", "q_licences", "q_packing", "q_kneser", "q_decontam", "q_rules", "q_resampling", "q_codes")
+MODULES = ("q_repeats", "q_near", "q_pii", "q_quality", "q_attribution", "q_licences", "q_packing", "q_kneser", "q_decontam", "q_rules", "q_resampling", "q_codes", "q_secrets")
 
 
 def query(name, sql=None):
