@@ -1,5 +1,7 @@
 """Corpora without terms, with one class, without words."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,23 @@ def test_sources_and_sinks(spark, docs, tmp_path):
     (tmp_path / "words.tsv").write_text("lemma\tcategory\nHate speech\tinsult\n \tnone\n")
     got = io.read_lexicon(spark, f"{tmp_path}/words.tsv", "EN").collect()
     assert [(r.language, r.lemma, r.n_words, r.category) for r in got] == [("EN", "hate speech", 2, "insult")]
+
+
+@pytest.mark.parametrize("size", ["64", "1000", "1m"])
+def test_quoted_fields_over_lines(spark, tmp_path, size):
+    """Line ends, quotes and separators in texts survive, wherever a file is split."""
+    rng = random.Random(3)
+    texts = ["", None, '"', '""', "a,b", "\n", "x\ny\n\nz", 'he said "no,\n no"', " lead and trail ", "é🙂\n", "\n" * 40, "long " * 200 + "\n" + 'q"' * 60]
+    texts += ["".join(rng.choice('ab,"\n é') for _ in range(rng.randrange(60))) for _ in range(150)]
+    rows = [(k, t, f"s{k}") for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    io.write_table(d.coalesce(2), f"{tmp_path}/csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = io.read_delimited(spark, f"{tmp_path}/csv", "doc_id long, text string, source string", header=True)
+        # CSV has no empty text: it is read as null
+        assert sorted(map(tuple, got.collect())) == [(k, t or None, s) for k, t, s in rows]
+        if size == "64":
+            assert spark.read.text(f"{tmp_path}/csv").rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
