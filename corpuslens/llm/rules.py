@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import is_small
+from corpuslens.llm.common import Scratch
 
 SPACE = "[ \\t-\\r]"
 MIN_WORDS = 10
@@ -112,62 +112,66 @@ def _spread(placed: Column, size: Column, n_words: Column) -> Column:
     return F.when(size > 0, F.concat(counts, F.array((n_words - hits).cast("long"))))
 
 
-def references(docs: DataFrame, bound: int = 10_000, copies_bound: int = 1_000_000) -> DataFrame:
-    """Per lang_key of ``docs`` (lang_key, t): class shares with the rest last, its common words (hashes) and their shares with the rest last.
+def common_words(docs: DataFrame, bound: int = 200_000) -> DataFrame:
+    """Per lang_key of ``docs`` (lang_key, t, d1, d2): top, the hashes of the TOP words that most different texts hold.
 
-    Every different text counts once, however many rows hold it, and by its
-    shares, not its length (a text too short to be judged counts less). A share
-    of the reference is the median over these texts, so what fewer than half of
-    them have, copies with small changes or a large source among it, cannot
-    decide it. The common words are the TOP that most texts hold, as far as
-    their median is not zero.
-
-    ``bound`` and ``copies_bound`` choose between broadcast and shuffle: so many
-    languages, and so many texts that occur more than once.
+    Every different text counts once, however many rows hold it. Texts that occur more
+    than once are sent to all tasks if they are at most ``bound`` (their keys are at
+    most 512 bytes, so some 100 MB at the very worst), else joined by shuffle.
     """
-    t = F.col("t")
-    d = docs.select("lang_key", "t", F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(1), t).alias("d2"))
     key = ["lang_key", "d1", "d2"]
-    copies = d.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1")
-    if is_small(copies, copies_bound):
+    copies = docs.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1")
+    size = copies.limit(bound + 1).agg(F.count("*").alias("n"), F.max(F.length("lang_key")).alias("longest")).first()
+    if size.n <= bound and (size.longest or 0) <= 512:
         copies = F.broadcast(copies)
     # integers, so that the order of adding does not matter; a group of copies adds up to one text
     share = F.floor(F.lit(ONE) / F.coalesce("copies", F.lit(1)))
-    words = (d.join(copies, key, "left").select("lang_key", share.alias("c"), F.explode(F.array_distinct(_hashes(t))).alias("w"))
+    words = (docs.join(copies, key, "left").select("lang_key", share.alias("c"), F.explode(F.array_distinct(_hashes(F.col("t")))).alias("w"))
              .groupBy("lang_key", "w").agg(F.sum("c").alias("c")))
     slice_order = Window.partitionBy("lang_key", "salt").orderBy(F.col("c").desc(), "w")
     few = (words.withColumn("salt", F.pmod("w", F.lit(64)).cast("int"))
            .withColumn("r", F.row_number().over(slice_order)).filter(F.col("r") <= TOP))
     order = Window.partitionBy("lang_key").orderBy(F.col("c").desc(), "w")
-    top = (few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TOP)
-           .groupBy("lang_key").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("top")).select("lang_key", F.col("top.w").alias("top")))
-    if is_small(docs.select("lang_key").distinct(), bound):
-        top = F.broadcast(top)
-
-    none = F.array().cast("array<bigint>")
-    d = d.join(top, "lang_key", "left").select(*key, F.coalesce("top", none).alias("top"), F.length(t).alias("size"),
-                                               F.regexp_replace(t, LOWER, "").alias("rest"), _hashes(t).alias("words"))
-    counts = _class_counts(F.col("size"), F.col("rest"))
-    d = d.select(*key, "top", "size", F.array(*counts).alias("classes"), F.size("words").alias("n"), _placed(F.col("words"), F.col("top")).alias("placed"))
-    d = d.select(*key, "top", "size", "n", F.concat("classes", F.array(F.col("size") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))).alias("classes"),
-                 _spread(F.col("placed"), F.size("top"), F.col("n")).alias("counts"))
+    return (few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TOP)
+            .groupBy("lang_key").agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("top")).select("lang_key", F.col("top.w").alias("top")))
+
 
+def references(measured: DataFrame) -> DataFrame:
+    """Per lang_key: class shares with the rest last, and the shares of its common words (0: not used).
+
+    ``measured``: lang_key, d1, d2, classes, counts and m. Every different text counts once
+    and by its shares, not its length (a text too short to be judged counts less). A share
+    of the reference is the median over these texts, so what fewer than half of them have,
+    copies with small changes or a large source among it, cannot decide it.
+    """
     def shares(counts, total):
         return F.when(total > 0, F.transform(counts, lambda c: F.round(c * SCALE / total).cast("int")))
 
-    d = d.select(*key, "top", F.struct(F.least("size", F.lit(MIN_CHARS)).alias("size"), F.least("n", F.lit(MIN_COMMON)).alias("n"),
-                                       shares(F.col("classes"), F.col("size")).alias("classes"), shares(F.col("counts"), F.col("n")).alias("counts")).alias("s"))
-    d = d.groupBy(*key).agg(F.first("top").alias("top"), F.first("s").alias("s"))
+    size, n = F.col("m.n_chars"), F.col("m.n_words")
+    d = measured.select("lang_key", "d1", "d2", F.struct(
+        F.least(size, F.lit(MIN_CHARS)).alias("size"), F.least(n, F.lit(MIN_COMMON)).alias("n"),
+        shares(F.col("classes"), size).alias("classes"), shares(F.col("counts"), n).alias("counts")).alias("s"))
+    d = d.groupBy("lang_key", "d1", "d2").agg(F.first("s").alias("s"))
 
     def median(part, k, weight):
         return F.round(F.coalesce(F.percentile(F.get(f"s.{part}", F.lit(k)), F.lit(0.5), F.col(f"s.{weight}")), F.lit(0.0))).cast("long")
 
-    d = d.groupBy("lang_key").agg(F.first("top").alias("top"), F.array(*[median("classes", k, "size") for k in range(len(CLASSES) + 2)]).alias("ref_classes"),
-                                  F.array(*[median("counts", k, "n") for k in range(TOP)]).alias("c"))
-    pairs = F.filter(F.arrays_zip("top", F.slice("c", F.lit(1), F.size("top")).alias("c")), lambda x: x["c"] > 0)
-    d = d.select("lang_key", "ref_classes", pairs.alias("p")).select("lang_key", "ref_classes", F.col("p.top").alias("ref_words"), F.col("p.c").alias("c"))
-    rest = F.greatest(F.lit(0).cast("long"), SCALE - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x))
-    return d.select("lang_key", "ref_classes", "ref_words", F.concat("c", F.array(rest)).alias("ref_counts"))
+    return d.groupBy("lang_key").agg(F.array(*[median("classes", k, "size") for k in range(len(CLASSES) + 2)]).alias("ref_classes"),
+                                     F.max(F.size("s.counts")).alias("k"), F.array(*[median("counts", k, "n") for k in range(TOP)]).alias("c")).select(
+        # the last of the counts are the words in none of the places
+        "lang_key", "ref_classes", F.slice("c", F.lit(1), F.greatest(F.lit(0), F.coalesce("k", F.lit(0)) - 1)).alias("ref_words"))
+
+
+def _used(counts: Column, ref: Column) -> Column:
+    """Of the counts (the rest last) those of words that the reference uses, and all others as the rest."""
+    used = F.transform(F.filter(F.arrays_zip(F.slice(counts, F.lit(1), F.size(ref)).alias("n"), ref.alias("c")), lambda x: x["c"] > 0), lambda x: x["n"])
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(F.size(used) > 0, F.concat(used, F.array(total - F.aggregate(used, F.lit(0).cast("long"), lambda a, x: a + x))))
+
+
+def _rest(shares: Column) -> Column:
+    used = F.filter(shares, lambda c: c > 0)
+    return F.concat(used, F.array(F.greatest(F.lit(0).cast("long"), SCALE - F.aggregate(used, F.lit(0).cast("long"), lambda a, x: a + x))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -184,30 +188,32 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms)))).otherwise(0.0)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS,
-           max_word: float = MAX_WORD, bound: int = 10_000) -> DataFrame:
-    """Two structs: row, the columns of ``docs``, and q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_js, word_js, base_failed, kept.
+def judged(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS,
+           max_word: float = MAX_WORD, bound: int = 10_000, keep: list[str] | None = None) -> DataFrame:
+    """Two structs: row, the columns of ``docs`` (or those named by ``keep``), and q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_js, word_js, base_failed, kept.
 
-    The references are broadcast if there are at most ``bound`` languages, and
-    joined by shuffle beyond that.
+    All a text gives is measured in one pass and stored; medians and distances come from the
+    stored rows. Common words and references are broadcast if there are at most ``bound``
+    languages (some 500 bytes each), and joined by shuffle beyond that.
     """
-    names = docs.columns
-    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"), _key(docs[lang]).alias("lang_key"))
-    ref = references(inner.select("lang_key", "t"), bound)
-    if docs.select(F.approx_count_distinct(lang)).first()[0] <= bound:
-        ref = F.broadcast(ref)
-    d = measures(inner, "row", "lang_key").join(ref, "lang_key", "left")
+    t = F.coalesce(docs[text], F.lit(""))
+    inner = docs.select(F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"), t.alias("t"), _key(docs[lang]).alias("lang_key"),
+                        F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(1), t).alias("d2"))
+    few = F.broadcast if docs.select(F.approx_count_distinct(lang)).first()[0] <= bound else lambda df: df
+    top = few(common_words(inner.select("lang_key", "t", "d1", "d2")))
+    d = measures(inner, "row", "lang_key", "d1", "d2").join(top, "lang_key", "left")
+    held = F.coalesce("top", F.array().cast("array<bigint>"))
     classes = F.concat("m.classes", F.array(F.col("m.n_chars") - F.aggregate("m.classes", F.lit(0).cast("long"), lambda a, x: a + x)))
-    common = _placed(F.col("m.words"), F.col("ref_words"))
-    d = d.select("row", "m", "ref_classes", "ref_counts", classes.alias("classes"), common.alias("common"))
-    counts = _spread(F.col("common"), F.size("ref_counts") - 1, F.col("m.n_words"))
-    d = d.select("row", "m", "ref_classes", "ref_counts", "classes", counts.alias("counts"))
+    d = d.select("row", "lang_key", "d1", "d2", "m", classes.alias("classes"), F.size(held).alias("k"), _placed(F.col("m.words"), held).alias("placed"))
+    d = scratch.cut(d.select("row", "lang_key", "d1", "d2", F.col("m").dropFields("words", "classes").alias("m"), "classes",
+                             _spread(F.col("placed"), F.col("k"), F.col("m.n_words")).alias("counts")), "measured")
+    d = d.join(few(references(d)), "lang_key", "left")
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > REPEAT_PCT * F.col("m.n_words"))
     cls = F.when(F.col("m.n_chars") >= MIN_CHARS, js_distance(F.col("classes"), F.col("ref_classes")))
-    wrd = F.when(F.col("m.n_words") >= MIN_COMMON, js_distance(F.col("counts"), F.col("ref_counts")))
+    wrd = F.when(F.col("m.n_words") >= MIN_COMMON, js_distance(_used(F.col("counts"), F.col("ref_words")), _rest(F.col("ref_words"))))
     d = d.select("row", "m", failed.alias("failed"), cls.alias("class_js"), wrd.alias("word_js"))
-    keep = (~F.col("failed") & (F.coalesce("class_js", F.lit(0.0)) <= max_class) & (F.coalesce("word_js", F.lit(0.0)) <= max_word))
+    keeps = (~F.col("failed") & (F.coalesce("class_js", F.lit(0.0)) <= max_class) & (F.coalesce("word_js", F.lit(0.0)) <= max_word))
     q = F.struct("m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "class_js", "word_js",
-                 F.col("failed").alias("base_failed"), keep.alias("kept"))
+                 F.col("failed").alias("base_failed"), keeps.alias("kept"))
     # a filter on q must not be pushed below: it would repeat every expression in itself, many times over
     return d.select("row", F.explode(F.array(q)).alias("q"))

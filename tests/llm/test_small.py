@@ -396,9 +396,9 @@ def test_rules(spark, docs, empty, rows):
         lines = [x for x in t.split("\n") if SPACED.search(x)]
         want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover),
                      len(w) < 10 or 100 * len(cover) > 20 * len(w)))
-    r = judged(docs)
+    r = judged(docs, Scratch(spark, "t"))
     same(r.select("row.doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed").collect(), want)
-    assert r.select("row.*").columns == docs.columns and judged(empty).count() == 0
+    assert r.select("row.*").columns == docs.columns and judged(empty, Scratch(spark, "t")).count() == 0
 
 
 @pytest.mark.parametrize("junk", ["copies", "variants"])
@@ -412,9 +412,9 @@ def test_rules_skewed(spark, junk):
     if junk == "variants":
         bad = [f"{t} {k}" for k, t in enumerate(bad)]
     d = spark.createDataFrame([(k, t, "en") for k, t in enumerate(clean + bad)], "doc_id long, text string, lang string")
-    r = judged(d).select("row.doc_id", "q.kept", "q.class_js", "q.word_js").collect()
+    r = judged(d, Scratch(spark, "t")).select("row.doc_id", "q.kept", "q.class_js", "q.word_js").collect()
     assert len(r) == 90 and all(x.kept == (x.doc_id < 60) for x in r)
-    alone = {x.doc_id: x for x in judged(d.filter("doc_id < 60")).select("row.doc_id", "q.class_js", "q.word_js").collect()}
+    alone = {x.doc_id: x for x in judged(d.filter("doc_id < 60"), Scratch(spark, "t")).select("row.doc_id", "q.class_js", "q.word_js").collect()}
     assert all(abs(x.class_js - alone[x.doc_id].class_js) < 0.1 for x in r if x.doc_id < 60)
 
 
