@@ -50,7 +50,7 @@ def _held(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return judged(docs).filter("q.kept").select("row.*")
+    return judged(docs, _scratch(spark, "stage-rules", docs)).filter("q.kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
