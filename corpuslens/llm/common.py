@@ -201,6 +201,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ensure_checkpoint_dir(spark)
+        # tables are written and read again, so no later query can use a query's shuffle files: they go when it ends
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.spark = spark
         self.base = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.labels: set[str] = set()
