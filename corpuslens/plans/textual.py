@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.operators import information as info
 from corpuslens.operators import text as op
 from corpuslens.plans.registry import cte, query, rounded
 from corpuslens.sources import bindings as b
@@ -150,6 +151,50 @@ def term_mi(spark, sf):
     return _all_but(op.term_mutual_information(b.docs(spark, sf)))
 
 
+_PSI = ("(ln({n} + 9.0) - 1 / (2 * ({n} + 9.0)) - (1 / pow({n} + 9.0, 2)) * (1 / 12.0::DOUBLE - (1 / pow({n} + 9.0, 2)) * (1 / 120.0::DOUBLE"
+        " - (1 / pow({n} + 9.0, 2)) * (1 / 252.0::DOUBLE - (1 / pow({n} + 9.0, 2)) / 240.0::DOUBLE))) - ("
+        + " + ".join(f"1 / ({{n}} + {i}.0::DOUBLE)" for i in range(9)) + "))")
+
+
+def _psi(n):
+    return _PSI.format(n=f"CAST({n} AS DOUBLE)")
+
+
+def _radius_sql(k):
+    side = lambda name, j: f"coalesce({name}{j}, 'inf'::DOUBLE)" if j else "0.0::DOUBLE"
+    return "least(" + ", ".join(f"greatest({side('l', j)}, {side('r', k - j)})" for j in range(k + 1)) + ")"
+
+
+@query("term_mi_neighbours", cte(b.DOCS_SQL, f"""
+tf AS (SELECT dataset_id, doc_id, term, count(*) AS tf FROM (SELECT dataset_id, doc_id, unnest({TERMS}) AS term FROM docs) GROUP BY ALL),
+dn AS (SELECT dataset_id, count(*) AS n FROM docs GROUP BY 1),
+voc AS (SELECT dataset_id, term, ln((1 + n) / (1 + df)) + 1 AS idf, n FROM (
+  SELECT dataset_id, term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY dataset_id, term
+  QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY sum(tf) DESC, term) <= 1000) JOIN dn USING (dataset_id)),
+w AS (SELECT dataset_id, doc_id, term, n, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY dataset_id, doc_id)) AS w
+      FROM tf JOIN voc USING (dataset_id, term)),
+st AS (SELECT dataset_id, term, CASE WHEN sd < 1e-12 THEN 1 ELSE sd END AS sd, m FROM (
+  SELECT dataset_id, term, sum(w) / max(n) AS m, sqrt(greatest(0, sum(w * w) / max(n) - pow(sum(w) / max(n), 2))) AS sd FROM w GROUP BY ALL)),
+cls AS (SELECT dataset_id, label, count(*) AS c FROM docs GROUP BY ALL HAVING count(*) > 1),
+x0 AS (SELECT dataset_id, term, doc_id, label, c, sd, m, md5('42:' || term || ':' || doc_id) AS h FROM docs JOIN cls USING (dataset_id, label) JOIN st USING (dataset_id)),
+x AS (SELECT x0.dataset_id, x0.term, x0.doc_id, label, c, coalesce(w, 0) / sd + 1e-10::DOUBLE * greatest(1, m / sd)
+        * sqrt(-2 * ln((CAST('0x' || substr(h, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE))
+        * cos(2 * pi() * ((CAST('0x' || substr(h, 13, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS x
+      FROM x0 LEFT JOIN w ON w.dataset_id = x0.dataset_id AND w.term = x0.term AND w.doc_id = x0.doc_id),
+side AS (SELECT *, {", ".join(f"x - lag(x, {j}) OVER o AS l{j}, lead(x, {j}) OVER o - x AS r{j}" for j in (1, 2, 3))}
+         FROM x WINDOW o AS (PARTITION BY dataset_id, term, label ORDER BY x, doc_id)),
+rad AS (SELECT dataset_id, term, doc_id, c, least(3, c - 1) AS k, x,
+          (CASE least(3, c - 1) WHEN 1 THEN {_radius_sql(1)} WHEN 2 THEN {_radius_sql(2)} ELSE {_radius_sql(3)} END) * (1 - pow(2, -50)) AS r FROM side),
+ev AS (SELECT dataset_id, term, doc_id, c, k, x + r AS pos, 0 AS kind, 1 AS sign FROM rad UNION ALL SELECT dataset_id, term, doc_id, c, k, x, 1, 0 FROM rad
+       UNION ALL SELECT dataset_id, term, doc_id, c, k, x - r, 2, -1 FROM rad),
+cnt AS (SELECT *, sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id, term ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS n FROM ev),
+mm AS (SELECT dataset_id, term, doc_id, max(c) AS c, max(k) AS k, sum(n * sign) AS m FROM cnt WHERE kind <> 1 GROUP BY ALL),
+mi AS (SELECT dataset_id, term, greatest(0, {_psi('count(*)')} + avg({_psi('k')}) - avg({_psi('c')}) - avg({_psi('m')})) AS mi FROM mm GROUP BY ALL)""",
+       select=f"SELECT dataset_id, {rd('avg(mi)', 'mean_mutual_info')}, {rd('max(mi)', 'max_mutual_info')} FROM mi GROUP BY 1"))
+def term_mi_neighbours(spark, sf):
+    return rounded(info.mutual_information(b.docs(spark, sf)), "mean_mutual_info", "max_mutual_info")
+
+
 @query("manifest_flags", """
 SELECT DISTINCT source || '_' || lang AS dataset_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS is_english,
        CASE WHEN lang <> 'en' THEN 1 ELSE 0 END AS is_multilingual_row,
