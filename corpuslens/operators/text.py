@@ -334,19 +334,29 @@ def vocab_jaccard(docs: DataFrame) -> DataFrame:
     return docs.select("dataset_id").distinct().join(out, "dataset_id", "left").fillna(0.0)
 
 
-def zipf_slope(docs: DataFrame, k: int | None = None) -> DataFrame:
+PLACES = 1 << 16
+
+
+def zipf_slope(docs: DataFrame, k: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """ch_zipf_slope: slope of log10 frequency on log10 place over all terms, or the ``k`` most frequent ones.
 
-    Terms of one frequency take the places after all more frequent ones, in any
-    order, so frequencies are counted first and only their terms are numbered.
+    Terms of one frequency take the places after all more frequent ones, in any order, so
+    only the number of terms of each frequency matters: their places are a range, summed
+    in blocks, and no term moves after it has been counted. ``counts`` (dataset_id, term, n) spares the count.
     """
-    cnt = token_counts(docs, tx.word_tokens(F.col("text")), out="term")
+    cnt = token_counts(docs, tx.word_tokens(F.col("text")), out="term") if counts is None else counts
     above = Window.partitionBy("dataset_id").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     base = cnt.groupBy("dataset_id", "n").agg(F.count(F.lit(1)).alias("c")).select(
-        "dataset_id", "n", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("base"))
-    top = spread_row_number(cnt.withColumn("_h", F.md5("term")), ["dataset_id", "n"], "_h", "_i").join(
-        base, ["dataset_id", "n"]).withColumn("place", F.col("base") + F.col("_i"))
+        "dataset_id", F.log10("n").alias("y"), "c", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("base"))
     if k is not None:
-        top = top.filter(F.col("place") <= k)
-    slope = top.groupBy("dataset_id").agg(F.regr_slope(F.log10("n"), F.log10("place")).alias("ch_zipf_slope"))
+        base = base.withColumn("c", F.least(F.col("c"), F.lit(k) - F.col("base"))).filter("c > 0")
+    blocks = base.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(PLACES).cast("long"))))
+    size = F.least(F.lit(PLACES), F.col("c") - F.col("lo"))
+    places = F.sequence(F.col("base") + F.col("lo") + 1, F.col("base") + F.col("lo") + size)
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"))
+    sums = F.aggregate(places, zero, lambda a, p: F.struct((a["x"] + F.log10(p)).alias("x"), (a["xx"] + F.log10(p) * F.log10(p)).alias("xx")))
+    s = blocks.select("dataset_id", "y", size.alias("n"), sums.alias("s")).groupBy("dataset_id").agg(
+        F.sum("n").alias("n"), F.sum("s.x").alias("x"), F.sum("s.xx").alias("xx"), F.sum(F.col("n") * F.col("y")).alias("y"), F.sum(F.col("s.x") * F.col("y")).alias("xy"))
+    n, spread = F.col("n"), F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    slope = s.select("dataset_id", F.when(n > 1, (n * F.col("xy") - F.col("x") * F.col("y")) / spread).alias("ch_zipf_slope"))
     return docs.select("dataset_id").distinct().join(slope, "dataset_id", "left").fillna(0.0)
