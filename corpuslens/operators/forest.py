@@ -179,12 +179,7 @@ def recommend(x: DataFrame, perf: DataFrame, ranked: DataFrame, train: DataFrame
     mtry = {c: max(1, int(n_feat ** 0.5)) if s["kind"] == "hybrid" else 0 for c, s in cfgs.items()}
     leaf = {c: 3 if s["kind"] == "hybrid" else 1 for c, s in cfgs.items()}
     members, _ = grow(x, y, n_y, rows, mtry, leaf, allowed, seed=seed)
-    v = ranked.select("dataset_id", "algorithm", "alg_ord", "value", "rank")
-    p = leaf_means(members, v, ["algorithm", "alg_ord"], ["value", "rank"])
-    p = avg_rank(p.withColumn("value", F.round("value", 9)), ["cfg", "holdout_id"], "value", "_pr", descending=True)
-    kinds = F.create_map(*[F.lit(t) for c, s in cfgs.items() for t in (c, s["kind"])])
-    return p.select(F.col("cfg").alias("treatment"), "dataset_id", "algorithm", "alg_ord",
-                    F.when(kinds[F.col("cfg")] == "perf", F.col("_pr")).otherwise(F.round("rank", 9)).alias("score"))
+    return scored(members, ranked, {c: s["kind"] for c, s in cfgs.items()})
 
 
 def importance(splits: DataFrame, keys=("cfg", "holdout_id")) -> DataFrame:
@@ -208,6 +203,53 @@ def selected_features(x: DataFrame, perf: DataFrame, ranked: DataFrame, train: D
         "holdout_id", "feature", "place")
 
 
+KINDS = {"forest_p": dict(kind="perf", lam=0.0), "forest_r": dict(kind="rank", lam=1.0), "forest_hybrid": dict(kind="hybrid", lam=0.5)}
+
+
+def feature_masks(treatments: dict, variants: DataFrame, selected: DataFrame, holds: DataFrame) -> DataFrame:
+    """(cfg, holdout_id, feature): what each treatment may split on. ``treatments`` maps a name to its variant;
+    'sel' takes the hold-out's own selection, every other variant is the same for all hold-outs."""
+    of = F.create_map(*[F.lit(v) for kv in treatments.items() for v in kv])
+    names = holds.select("holdout_id").distinct().withColumn("cfg", F.explode(F.array(*[F.lit(t) for t in treatments])))
+    names = names.withColumn("variant", of[F.col("cfg")])
+    fixed = names.filter("variant <> 'sel'").join(variants, "variant").select("cfg", "holdout_id", "feature")
+    own = names.filter("variant = 'sel'").join(selected.select("holdout_id", "feature"), "holdout_id").select("cfg", "holdout_id", "feature")
+    return fixed.unionByName(own)
+
+
+def treatment_grid(x: DataFrame, perf: DataFrame, ranked: DataFrame, train: DataFrame, variants: DataFrame, trees=100,
+                   keep=36, selection_trees=500, seed=SEED) -> DataFrame:
+    """(treatment, dataset_id, algorithm, alg_ord, score) of the three forests on every variant of the columns.
+
+    ``variants`` (variant, feature) as ``matrix.variants`` gives them. The columns of 'sel' are the ``keep`` most
+    important ones of a forest grown on each hold-out's training set alone; the masks are a
+    table of the plan, so all treatments and hold-outs grow in the same levels.
+    """
+    sizes = {r.variant: r.n for r in variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).collect()}
+    treatments = {f"{kind}|{v}": v for kind in KINDS for v in sorted(sizes)}
+    chosen = cut(selected_features(x, perf, ranked, train, keep, selection_trees, seed))
+    allowed = cut(feature_masks(treatments, variants, chosen, train))
+    y, n_y = hybrid_targets(perf, ranked, train, {t: KINDS[t.split("|")[0]]["lam"] for t in treatments})
+    y = cut(y)
+    hold = y.select("cfg", "holdout_id").distinct().withColumn("dataset_id", F.col("holdout_id"))
+    rows = training_rows(y, trees, seed).unionByName(query_rows(hold, trees))
+    kinds = {t: KINDS[t.split("|")[0]]["kind"] for t in treatments}
+    width = {t: min(keep, sizes[v]) if v == "sel" else sizes[v] for t, v in treatments.items()}
+    mtry = {t: max(1, int(width[t] ** 0.5)) if k == "hybrid" else 0 for t, k in kinds.items()}
+    members, _ = grow(x, y, n_y, rows, mtry, {t: 3 if k == "hybrid" else 1 for t, k in kinds.items()}, allowed, seed=seed)
+    return scored(members, ranked, kinds)
+
+
+def scored(members: DataFrame, ranked: DataFrame, kinds: dict) -> DataFrame:
+    """Scores of the rows to predict: predicted ranks, or for kind 'perf' the ranks of predicted values."""
+    v = ranked.select("dataset_id", "algorithm", "alg_ord", "value", "rank")
+    p = leaf_means(members, v, ["algorithm", "alg_ord"], ["value", "rank"])
+    p = avg_rank(p.withColumn("value", F.round("value", 9)), ["cfg", "holdout_id"], "value", "_pr", descending=True)
+    of = F.create_map(*[F.lit(t) for kv in kinds.items() for t in kv])
+    return p.select(F.col("cfg").alias("treatment"), "dataset_id", "algorithm", "alg_ord",
+                    F.when(of[F.col("cfg")] == "perf", F.col("_pr")).otherwise(F.round("rank", 9)).alias("score"))
+
+
 def impurity_importance(x: DataFrame, targets: DataFrame, trees=500, seeds=10, min_leaf=2) -> DataFrame:
     """(target, feature, importance): one forest per target and seed, averaged.
     ``targets`` is (dataset_id, target, value); the seed is the hold-out key."""

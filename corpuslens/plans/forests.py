@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import analysis as an
 from corpuslens.operators import forest as fo
+from corpuslens.operators import matrix as mx
 from corpuslens.operators import protocol as pr
 from corpuslens.operators import rank as rk
-from corpuslens.plans.descriptive import DENSE, SPARSE, clean_long, features
+from corpuslens.plans.descriptive import DENSE, SPARSE, clean_long, features, near_dup_drop
 from corpuslens.plans.registry import query, rounded
 from corpuslens.sources import bindings as b
 
@@ -54,19 +55,33 @@ def lambda_sweep(spark, sf):
         "mean_spearman", "mean_auc_loss")
 
 
-@query("treatment_grid")
-def treatment_grid(spark, sf):
-    """Average rank and the three forests under leave-one-source-out."""
-    g = b.groups(spark, sf)
-    x, perf, r, train = inputs(spark, sf, g)
-    s = fo.recommend(x, perf, r, train, {
-        "forest_p": dict(kind="perf", lam=0.0), "forest_r": dict(kind="rank", lam=1.0),
-        "forest_hybrid": dict(kind="hybrid", lam=0.5)}, TREES)
-    ar = rk.average_rank(r, g).withColumn("treatment", F.lit("average_rank"))
+KEEP, SELECTION_TREES = 36, 10
+
+
+def grid(spark, sf, grp=None):
+    """Average rank and the three forests on six variants of the columns: nineteen treatments."""
+    grp = pr.self_groups(b.groups(spark, sf)) if grp is None else grp
+    x, perf, r, train = inputs(spark, sf, grp)
+    cat = features(spark, sf).join(x.select("feature").distinct(), "feature", "left_semi")
+    kept = near_dup_drop(spark, sf).filter("kept").select("feature")
+    s = fo.treatment_grid(x, perf, r, train, mx.variants(cat, kept).persist(), TREES, KEEP, SELECTION_TREES)
+    ar = rk.average_rank(r, grp).withColumn("treatment", F.lit("average_rank"))
     out = pr.summary(pr.evaluate(s.unionByName(ar.select(s.columns)), perf, r))
     return rounded(out, *[c for c, t in out.dtypes if t == "double"])
 
 
+@query("treatment_grid")
+def treatment_grid(spark, sf):
+    """All treatments, each hold-out's source left out."""
+    return grid(spark, sf, b.groups(spark, sf))
+
+
+@query("treatment_grid_lodo")
+def treatment_grid_lodo(spark, sf):
+    """All treatments, only the hold-out itself left out."""
+    return grid(spark, sf)
+
+
 @query("selected_features")
 def selected_features(spark, sf):
     x, perf, r, train = inputs(spark, sf)
