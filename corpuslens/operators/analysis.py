@@ -148,7 +148,7 @@ def representatives(clusters: DataFrame, matrix: DataFrame, cat: DataFrame, grou
     j = c.join(mean, "feature", "left").withColumn("_size", size).withColumn("_base", has_base)
     cost = F.when(F.col("origin") == "base", F.lit(0.0)).otherwise(F.coalesce("mean_seconds", F.lit(float("inf"))))
     w = Window.partitionBy("cluster_id").orderBy(
-        (F.col("origin") == "base").desc(), cost, F.col("mean_rho").desc(), "feature")
+        (F.col("origin") == "base").desc(), cost, F.round("mean_rho", 12).desc(), "feature")
     j = j.withColumn("kept", F.row_number().over(w) == 1)
     reason = (F.when(~F.col("kept"), "dropped_redundant_in_cluster").when(F.col("_size") == 1, "singleton_cluster")
               .when(F.col("_base") == 1, "cluster_representative_base_medoid")

@@ -365,12 +365,34 @@ def clusters(spark, sf):
     return an.linkage_clusters(matrix(spark, sf), cat.select("feature"), CUT), cat
 
 
-@query("linkage_clusters")
+# one merge a step: the two clusters of the smallest mean distance, the first by name among equals
+LINK_SQL = f"""
+dist AS MATERIALIZED (SELECT f, g, greatest(0, 1 - rho) AS d FROM sym),
+merged AS (
+  WITH RECURSIVE w(it, feature, c) AS (
+    SELECT 0, feature, feature FROM (SELECT DISTINCT feature FROM xk)
+    UNION ALL
+    SELECT w.it + 1, w.feature, CASE WHEN w.c = m.hi THEN m.lo ELSE w.c END FROM w
+    JOIN (SELECT arg_min(a, (d, a, b)) AS lo, arg_min(b, (d, a, b)) AS hi, min(d) AS d FROM (
+      SELECT x.c AS a, y.c AS b, avg(dist.d) AS d FROM w x JOIN dist ON dist.f = x.feature JOIN w y ON dist.g = y.feature
+      WHERE x.c < y.c GROUP BY ALL)) m ON m.d <= {CUT}
+  )
+  SELECT * FROM w WHERE it = (SELECT max(it) FROM w)
+),
+clus AS (SELECT feature, CAST(dense_rank() OVER (ORDER BY c) AS INTEGER) AS cluster_id FROM merged)"""
+
+
+@query("linkage_clusters", cte(X_SQL, MATRIX_SQL, LINK_SQL, select="SELECT feature, cluster_id FROM clus"))
 def linkage_clusters(spark, sf):
     return clusters(spark, sf)[0]
 
 
-@query("cluster_summary")
+@query("cluster_summary", cte(X_SQL, MATRIX_SQL, LINK_SQL, """
+comp AS (SELECT cluster_id, count(*) FILTER (WHERE origin = 'base') AS nb, count(*) FILTER (WHERE origin = 'new') AS nn FROM clus JOIN cat USING (feature) GROUP BY 1),
+top AS (SELECT f, max(rho) FILTER (WHERE b.origin = 'base') AS r FROM sym JOIN cat a ON a.feature = f JOIN cat b ON b.feature = g WHERE a.origin = 'new' GROUP BY 1)""", select="""
+SELECT count(*) AS n_clusters, count(*) FILTER (WHERE nn = 0) AS n_base_only, count(*) FILTER (WHERE nb = 0) AS n_new_only,
+       count(*) FILTER (WHERE nb > 0 AND nn > 0) AS n_mixed, (SELECT avg(CASE WHEN r >= 0.7 THEN 1 ELSE 0 END) FROM top) AS frac_ge_07,
+       (SELECT avg(CASE WHEN r >= 0.9 THEN 1 ELSE 0 END) FROM top) AS frac_ge_09 FROM comp"""))
 def cluster_summary(spark, sf):
     c, cat = clusters(spark, sf)
     return an.cluster_summary(an.composition(c, cat), an.max_correlation(matrix(spark, sf), cat))
@@ -398,12 +420,38 @@ def selection(spark, sf):
     return an.representatives(c, matrix(spark, sf), cat, an.group_cost(cost(spark, sf)))
 
 
-@query("representatives")
+REPR_SQL = """
+gc AS (SELECT grp, avg(seconds) AS sec FROM cost GROUP BY 1),
+mr AS (SELECT c.feature, avg(rho) AS m FROM clus c JOIN clus o ON o.cluster_id = c.cluster_id JOIN sym ON f = c.feature AND g = o.feature GROUP BY 1),
+rp AS (SELECT cluster_id, feature, origin, count(*) OVER z AS size, max(CASE WHEN origin = 'base' THEN 1 ELSE 0 END) OVER z AS base,
+       row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN origin = 'base' THEN 0 ELSE 1 END,
+         CASE WHEN origin = 'base' THEN 0 ELSE coalesce(sec, 'inf'::DOUBLE) END, round(m, 12) DESC NULLS LAST, feature) = 1 AS kept
+       FROM clus JOIN cat USING (feature) LEFT JOIN gc USING (grp) LEFT JOIN mr USING (feature) WINDOW z AS (PARTITION BY cluster_id)),
+sel AS (SELECT cluster_id, feature, origin, kept, CASE WHEN NOT kept THEN 'dropped_redundant_in_cluster' WHEN size = 1 THEN 'singleton_cluster'
+       WHEN base = 1 THEN 'cluster_representative_base_medoid' ELSE 'cluster_representative_new_lowest_cost' END AS reason FROM rp)"""
+# the kept ones in order; each goes if it nearly equals one that stays before it
+DROP_SQL = """
+ord AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cluster_id, feature) AS k, feature FROM sel WHERE kept),
+walk AS (
+  WITH RECURSIVE s(k, stay, feature, dup) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+    UNION ALL
+    SELECT o.k, CASE WHEN o.dup IS NULL THEN list_append(o.stay, o.feature) ELSE o.stay END, o.feature, o.dup FROM (
+      SELECT ord.k, s.stay, ord.feature, list_filter(s.stay, lambda x: list_contains(near.l, x))[1] AS dup
+      FROM s JOIN ord ON ord.k = s.k + 1 LEFT JOIN (SELECT f, list(g) AS l FROM sym WHERE rho >= 0.5 GROUP BY 1) near ON near.f = ord.feature) o
+  )
+  SELECT feature, dup FROM s WHERE dup IS NOT NULL
+)"""
+
+
+@query("representatives", cte(X_SQL, MATRIX_SQL, LINK_SQL, COST_SQL, REPR_SQL, select="SELECT * FROM sel"))
 def representatives(spark, sf):
     return selection(spark, sf)
 
 
-@query("near_dup_drop")
+@query("near_dup_drop", cte(X_SQL, MATRIX_SQL, LINK_SQL, COST_SQL, REPR_SQL, DROP_SQL, select="""
+SELECT cluster_id, feature, origin, kept AND dup IS NULL AS kept, CASE WHEN dup IS NOT NULL THEN 'dropped_duplicate_ge_0.5_of_' || dup ELSE reason END AS reason
+FROM sel LEFT JOIN walk USING (feature)"""))
 def near_dup_drop(spark, sf):
     return an.drop_near_duplicates(selection(spark, sf), matrix(spark, sf), at=0.5)
 

@@ -303,7 +303,27 @@ def clustering_coef(spark, sf):
     return rounded(cx.clustering(p, tiles), "cx_clscoef")
 
 
-@query("hubs")
+# powers of A + I inside each class, the largest score 1; the classes of the largest eigenvalue hold the hubs
+HUB_SQL = """
+adj AS MATERIALIZED (SELECT points.dataset_id, points.space, label, a, b FROM edges JOIN points ON points.dataset_id = edges.dataset_id AND points.space = edges.space AND doc_id = a
+                     UNION ALL SELECT dataset_id, space, label, doc_id, doc_id FROM points),
+pw AS (
+  WITH RECURSIVE h(it, dataset_id, space, label, doc_id, x, top) AS (
+    SELECT 0, dataset_id, space, label, doc_id, 1.0::DOUBLE, 1.0::DOUBLE FROM points
+    UNION ALL
+    SELECT it, dataset_id, space, label, a, y / max(y) OVER z, max(y) OVER z FROM (
+      SELECT h.it + 1 AS it, adj.dataset_id, adj.space, adj.label, adj.a, sum(h.x) AS y FROM h JOIN adj ON adj.dataset_id = h.dataset_id
+        AND adj.space = h.space AND adj.b = h.doc_id WHERE h.it < 400 GROUP BY ALL) WINDOW z AS (PARTITION BY dataset_id, space, label)
+  )
+  SELECT * FROM h WHERE it = 400
+),
+cl AS (SELECT dataset_id, space, label, max(top) AS lam, sum(x) AS s FROM pw GROUP BY ALL),
+lead AS (SELECT dataset_id, space, sum(s) AS s, max(lam) AS lam FROM (SELECT *, max(lam) OVER (PARTITION BY dataset_id, space) AS best FROM cl)
+         WHERE lam >= best * (1 - 1e-9) GROUP BY ALL)"""
+
+
+@query("hubs", cte(EPS_SQL, HUB_SQL, select=f"""
+SELECT dataset_id, space, {rd('CASE WHEN lam <= 1.0 + 1e-12 THEN 1 ELSE 1 - s / n END', 'cx_hubs')} FROM sizes JOIN lead USING (dataset_id, space)"""))
 def hubs(spark, sf):
     p, _, blocks, tiles = _graph(spark, sf)
     return rounded(cx.hubs(p, blocks, tiles), "cx_hubs")
