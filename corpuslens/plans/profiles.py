@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.operators import landmark as lm
 from corpuslens.operators import matrix as mx
 from corpuslens.operators import profile as pf
+from corpuslens.operators import vectors as vec
 from corpuslens.plans import landmarks, textual, vectorial  # noqa: F401  (twins of the parts)
 from corpuslens.plans.registry import SQL, query, rounded
 from corpuslens.sources import bindings as b
@@ -63,3 +65,51 @@ def profile_matrix(spark, sf):
     x = mx.impute(mx.drop_constant(mx.to_long(profile_rows(spark, sf))))
     cat = mx.catalogue(x.select("feature").distinct())
     return rounded(x.join(cat, "feature").select("dataset_id", "feature", "origin", "grp", "value", "imputed"), "value")
+
+
+# ---------------------------------------------------------------- one corpus in two spaces: documents that have a vector
+
+VDOCS_SQL = f"""
+docs AS (SELECT {CORPUS_SQL} AS dataset_id, doc_id, text, lang AS label FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang IS NOT NULL)"""
+
+
+def _both(name, space="'text' AS space", key="dataset_id"):
+    """A registered twin on the documents with vectors; ``key`` names the corpus in ``points``."""
+    points = VDOCS_SQL + f""",
+points AS (SELECT {key} AS dataset_id, {space}, doc_id, docs.label, CAST(embedding AS DOUBLE[]) AS v FROM docs JOIN embeddings ON vec_id = doc_id)"""
+    return "(" + SQL[name].replace(b.DOCS_SQL.strip(), VDOCS_SQL.strip()).replace(b.POINTS_SQL.strip(), points.strip()) + ")"
+
+
+def two_spaces(spark, sf):
+    """(docs, points) of the same documents: texts, and their vectors."""
+    d = b.table(spark, sf, "documents").filter("lang is not null").select(corpus().alias("dataset_id"), "doc_id", "text", F.col("lang").alias("label"))
+    v = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    both = d.join(v, "doc_id").persist()
+    return both.drop("v"), both.select("dataset_id", F.lit("text").alias("space"), "doc_id", "label", "v")
+
+
+@query("kdn_gap_tfidf_dense", f"""
+SELECT dataset_id, {textual.rd('s.kdn', 'kdn_tfidf')}, {textual.rd('d.kdn', 'kdn_dense')}, round(s.kdn - d.kdn, 5) + 0 AS kdn_gap
+FROM {_both("kdn_tfidf")} s JOIN {_both("kdn")} d USING (dataset_id)""")
+def kdn_gap_tfidf_dense(spark, sf):
+    """Disagreeing neighbours among TF-IDF rows against those among vectors."""
+    docs, points = two_spaces(spark, sf)
+    sparse = vec.kdn(vec.same_label_counts(vec.knn_sparse(vec.tfidf(docs), docs, 5), ["dataset_id"]), ["dataset_id"])
+    dense = vec.kdn(vec.same_label_counts(vec.knn(points)), ["dataset_id"])
+    j = sparse.select("dataset_id", F.col("kdn").alias("kdn_tfidf")).join(dense.select("dataset_id", F.col("kdn").alias("kdn_dense")), "dataset_id")
+    j = rounded(j, "kdn_tfidf", "kdn_dense")
+    return rounded(j.withColumn("kdn_gap", F.col("kdn_tfidf") - F.col("kdn_dense")), "kdn_gap", digits=5)
+
+
+_LM_DENSE = _both("nc_dense_cv", "dataset_id AS space", "'vec'")
+
+
+@query("landmark_gap_dense_tfidf", f"""
+SELECT s.dataset_id, s.f1 AS lm_nc_tfidf, d.f1 AS lm_nc_dense, round(d.f1 - s.f1, 5) + 0 AS lm_nc_gap
+FROM {_both("nc_tfidf_cv")} s JOIN {_LM_DENSE} d ON d.space = s.dataset_id""")
+def landmark_gap_dense_tfidf(spark, sf):
+    """Nearest centroid on vectors against nearest centroid on TF-IDF rows, on the same folds."""
+    docs, points = two_spaces(spark, sf)
+    sparse = rounded(lm.nc_tfidf_cv(docs), "f1").withColumnRenamed("f1", "lm_nc_tfidf")
+    dense = rounded(lm.nc_dense_cv(points), "f1").select("dataset_id", F.col("f1").alias("lm_nc_dense"))
+    return rounded(sparse.join(dense, "dataset_id").withColumn("lm_nc_gap", F.col("lm_nc_dense") - F.col("lm_nc_tfidf")), "lm_nc_gap", digits=5)
