@@ -223,6 +223,12 @@ class Scratch:
             if label not in labels:
                 self.drop(label)
 
+    def drop_all(self, *starts: str) -> None:
+        """Drop the tables whose labels start so."""
+        for label in list(self.labels):
+            if label.startswith(starts):
+                self.drop(label)
+
     def feeds(self, df: DataFrame) -> bool:
         """Whether ``df`` reads a table of this folder."""
         folder = self.base.rsplit("/", 1)[-1]

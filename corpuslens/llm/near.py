@@ -214,11 +214,17 @@ class _Linker:
             tb = few.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
             new = new.unionByName(check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"))
         new = s.cut(new, f"links-{r}")
+        s.drop_all("pairs-", "likely-")
         if new.isEmpty():
             return
         edges = new if self.labels is None else new.unionByName(self.links)
         found = components(edges, s, f"comp-{r}")
+        old = [x for x in s.labels if x.startswith("labels-")]
         self.labels = s.cut(found, f"labels-{r}")
+        # callers mark their lists anew after each call, so nothing reads the labels before
+        s.drop_all("links-", "comp-")
+        for x in old:
+            s.drop(x)
         # a star per component says the same as all links so far
         self.links = self.labels.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
@@ -345,6 +351,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
                .select("cls", "n", "h", "path", F.explode(F.slice("first", at + 1, F.size("first"))).alias("last"))
                .select("cls", "n", "h", "last", F.xxhash64("path", "last").alias("path")).withColumn("key", F.col("path")))
         inv = scratch.cut(inv, f"lists-{depth + 1}")
+        scratch.drop_all("marked-", "again-")
+        scratch.drop(f"lists-{depth}" if depth > 1 else "lists")
     kept = None
     if linker.labels is not None:
         kept = scratch.cut(linker.labels, "result")
