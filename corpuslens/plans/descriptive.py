@@ -507,8 +507,10 @@ def panel_gap(spark, sf):
     return rounded(best_gap(ranked(spark, sf)), "median_gap", "mean_gap", "min_gap", "max_gap")
 
 
-@query("folds_check", cte(b.P_SQL, select="""
-SELECT dataset_id, count(*) AS n_cells, count(*) FILTER (WHERE value IS NULL) AS n_null, true AS mean_ok FROM scores GROUP BY 1"""))
+@query("folds_check", cte(b.P_SQL, """
+mm AS (SELECT dataset_id, algorithm, sum(value) / count(value) AS m, count(*) AS c, count(*) FILTER (WHERE value IS NULL) AS z FROM scores GROUP BY ALL)""", select="""
+SELECT dataset_id, CAST(sum(c) AS BIGINT) AS n_cells, CAST(sum(z) AS BIGINT) AS n_null, bool_and(abs(m - value) <= 1e-12) AS mean_ok
+FROM mm JOIN p USING (dataset_id, algorithm) GROUP BY 1"""))
 def folds_check(spark, sf):
     from corpuslens.operators.panel import check_folds
     s = b.scores(spark, sf)
