@@ -59,7 +59,16 @@ def profile(spark, sf):
     return rounded(p, *[c for c, t in p.dtypes if t == "double"])
 
 
-@query("profile_matrix")
+_GROUP = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(c) for c in cols)}) THEN '{g}'" for g, cols in mx.BASE_GROUPS.items()) + " END"
+
+
+@query("profile_matrix", f"""
+WITH pr AS ({_profile_sql()}),
+wide AS (SELECT dataset_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in COLUMNS)} FROM pr),
+xl AS (SELECT dataset_id, feature, value FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(COLUMNS)}))),
+kept AS (SELECT feature, median(value) AS med FROM xl GROUP BY 1 HAVING count(DISTINCT value) > 1)
+SELECT dataset_id, feature, CASE WHEN {_GROUP} IS NOT NULL THEN 'base' ELSE 'new' END AS origin, coalesce({_GROUP}, split_part(feature, '_', 1)) AS grp,
+       round(coalesce(value, med), 6) + 0 AS value, value IS NULL AS imputed FROM xl JOIN kept USING (feature)""")
 def profile_matrix(spark, sf):
     """The profile as a clean matrix: constant columns gone, missing cells imputed."""
     x = mx.impute(mx.drop_constant(mx.to_long(profile_rows(spark, sf))))
