@@ -1,24 +1,29 @@
 """Near-duplicate documents by bottom-k sketches, inverted lists and exact verification.
 
 One hash function orders the five-word shingles of a document; its K smallest
-values are the sketch. The KEYS smallest of them are keys of inverted lists.
-Equal sets are folded into a class before anything else, so copies cost one row.
+values are the sketch. Equal sets are folded into a class before anything else,
+so copies cost one row.
+
+Two classes at the threshold have CUT of their retained values in common (small
+sets: three quarters). So, if each class sorts its values from the rarest to the
+most frequent, the first common one is among the first K - CUT + 1 of both: only
+these go to the inverted lists. Passages that many documents share are frequent,
+come last and make no list, unless they are most of a document.
 
 A long list is not expanded into pairs. Only members of *different* components
-can still matter, so a list is judged by its members outside its largest
-component. Every such member is first compared with a hub, a member of the
-largest component, and confirmed links join components; lists inside one
-component are dropped. Of the rest, lists with up to SMALL members outside give
-all pairs across components (linear in the list). A pair that meets in long
-lists only must share SHARE of its long keys, so it shares some d of the first
-h - SHARE + d of them (h: how many the document has, in hash order): such sets
-of d keys are the finer lists of depth d = 2, 3, ..., and what is still long at
-depth SHARE is paired in full.
+can still matter. Every member outside the list's largest component is compared
+with a hub, a member of that component, and confirmed links join components;
+lists inside one component are dropped. Of the rest, lists with up to SMALL
+members outside give all pairs across components (linear in the list). A pair
+that meets in longer lists only has both members in them: these classes retain
+DEEP values instead of K, get lists of their own from the rarest of these, and
+go through the same rounds. What is still long then is paired in full, so that
+no link is lost; that takes classes that have over two thirds of their shingles
+in common with many others without being linked with them.
 
 Candidates are filtered by the estimate from the union sketch and confirmed on
-full shingle sets. Of 24 keys, two documents at the threshold share fewer than
-SHARE = 6 with probability 3e-9, and the union estimate at K = 64 falls under
-CUT with probability about 1e-8.
+full shingle sets. At the threshold, fewer than CUT = 28 common values of K = 64
+have probability 1e-8, as have fewer than DEEP_CUT = 685 of DEEP = 1024.
 
 Defined cases: no words (null or blank text): 0 shingles, linked with nothing;
 fewer than five words: one shingle, the whole sequence; a null doc_id counts
@@ -38,19 +43,19 @@ from corpuslens.llm.common import NOT_SPACE, Scratch, id_key, limit_arrow, mix,
 
 WIDTH = 5
 K = 64
-KEYS = 24
 #: Of the K smallest values of a union, so many must be in both for a full check.
 CUT = 28
+#: Values that members of long lists retain, and how many of them a linked pair shares.
+DEEP = 1024
+DEEP_CUT = 685
 SMALL = 32
-#: Keys that a linked pair shares at least.
-SHARE = 6
-#: Up to so many pairs (two digests of 16 bytes each) are sent to the tables that they name.
+#: Up to so many pairs (two numbers of 8 bytes each) are sent to the tables that they name.
 FEW = 100_000
-#: Hubs drawn for a long list at each depth.
-TURNS = 2
+#: Hubs drawn for a list.
+TURNS = 3
 NUM, DEN = 75, 100
 
-SKETCH = "doc_id long, tag binary, n long, cls binary, sketch binary"
+SKETCH = "doc_id long, tag binary, n long, cls binary, sketch array<long>"
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -82,16 +87,24 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(buf, offs):
                     n.append(len(s))
                     cls.append(_set_digest(s) if len(s) else None)
-                    sk.append(s[:K].tobytes())
+                    sk.append(s[:K].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("tag"), pa.array(n, pa.int64()),
-                     pa.array(cls, pa.binary()), pa.array(sk, pa.binary())],
+                     pa.array(cls, pa.binary()), pa.array(sk, pa.list_(pa.int64()))],
                     ["doc_id", "tag", "n", "cls", "sketch"])
 
     d = narrow(docs)
     return d.withColumn("tag", text_tag(d["text"])).mapInArrow(run, SKETCH)
 
 
+def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, vals (DEEP smallest values) of texts."""
+    for batch in batches:
+        for rows, buf, offs in text_blocks(batch):
+            vals = [s[:DEEP].view(np.int64) for s in shingle_sets(buf, offs)]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("n"), pa.array(vals, pa.list_(pa.int64()))], ["id", "n", "vals"])
+
+
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b): comp is the smallest node reachable.
 
@@ -127,7 +140,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, sure = [], []
         na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
         for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-            both = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)]))
+            both = np.sort(np.concatenate([x.values.to_numpy(), y.values.to_numpy()]).view(np.uint64))
             same = both[1:] == both[:-1]
             if na[k] <= K and nb[k] <= K:
                 common = int(same.sum())
@@ -170,7 +183,7 @@ def _first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     last = None
     for batch in batches:
         keep = []
-        for k, c in enumerate(batch.column("cls").to_pylist()):
+        for k, c in enumerate(batch.column("id").to_pylist()):
             if c != last:
                 keep.append(k)
             last = c
@@ -190,8 +203,8 @@ class _Linker:
         """Rows of ``table`` whose class is in ``pairs``. Few pairs (counted, at most FEW) go to the table; many leave it whole."""
         if n > FEW:
             return table
-        ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        return table.join(F.broadcast(ids), "cls", "left_semi")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        return table.join(F.broadcast(ids), "id", "left_semi")
 
     def add(self, pairs: DataFrame) -> None:
         """``pairs``: a, b (classes), na, nb (their sizes)."""
@@ -202,17 +215,17 @@ class _Linker:
         if not n:
             return
         few = self._only(self.classes, pairs, n)
-        sk = few.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
-        sk2 = few.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
-        likely = s.cut(pairs.join(sk, "a").join(sk2, "b").mapInArrow(_estimate, "a binary, b binary, sure boolean"), f"likely-{r}")
+        sk = few.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+        sk2 = few.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        likely = s.cut(pairs.join(sk, "a").join(sk2, "b").mapInArrow(_estimate, "a long, b long, sure boolean"), f"likely-{r}")
         check = likely.filter("not sure").select("a", "b")
         n = check.count()
         new = likely.filter("sure").select("a", "b")
         if n:
             few = self._only(self.texts, check, n)
-            ta = few.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-            tb = few.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-            new = new.unionByName(check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"))
+            ta = few.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+            tb = few.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+            new = new.unionByName(check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"))
         new = s.cut(new, f"links-{r}")
         s.drop_all("pairs-", "likely-")
         if new.isEmpty():
@@ -229,15 +242,15 @@ class _Linker:
         self.links = self.labels.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
     def mark(self, inv: DataFrame) -> DataFrame:
-        """Rows of lists that reach over components: comp, the list's largest component top, and how many members are out of it."""
+        """Rows of lists that reach over components: comp, the list's largest component top, members m, and how many are out of top."""
         if self.labels is not None:
-            inv = (inv.join(self.labels.withColumnRenamed("node", "cls"), "cls", "left")
-                   .withColumn("comp", F.coalesce("comp", "cls")))
+            inv = (inv.join(self.labels.withColumnRenamed("node", "id"), "id", "left")
+                   .withColumn("comp", F.coalesce("comp", "id")))
         else:
-            inv = inv.withColumn("comp", F.col("cls"))
+            inv = inv.withColumn("comp", F.col("id"))
         stat = (inv.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
                 .agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("t"))
-                .select("key", F.col("t.comp").alias("top"), (F.col("m") - F.col("t.c")).alias("out")).filter("out > 0"))
+                .select("key", F.col("t.comp").alias("top"), "m", (F.col("m") - F.col("t.c")).alias("out")).filter("out > 0"))
         return inv.join(stat, "key")
 
 
@@ -246,49 +259,58 @@ def _fits(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def _common(x: str, y: str):
-    """Shingles that sets of these sizes have in common if they are linked."""
-    return F.ceil((F.col(x) + F.col(y)) * NUM / (NUM + DEN))
+def _rare_lists(sets: DataFrame, k: int, cut: int) -> DataFrame:
+    """Inverted lists (key, id, n) of the rarest of the ``k`` values that ``sets`` (id, n, vals) retain.
 
+    A linked pair has ``cut`` values in common, or three quarters of a set that
+    is whole like all its partners; its first common value in the order of
+    (frequency, value) is in both prefixes. Values that one set alone has come
+    first and join nothing, so they are only counted.
+    """
+    keys = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("vals").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
+    part = F.ceil(F.col("n") * NUM / DEN)
+    need = F.when(DEN * F.col("n") <= NUM * k, part).otherwise(F.least(part, F.lit(cut)))
+    alone = F.least(F.col("n"), F.lit(k)) - F.size("v")
+    first = F.least(F.col("n"), F.lit(k)) - need + 1 - alone
+    mine = (keys.join(shared, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("v"))
+            .select("id", F.col("n").cast("long").alias("n"), F.explode(F.slice("v", 1, F.greatest(F.lit(0), first).cast("int"))).alias("v"))
+            .select("id", "n", "v.key"))
+    met = mine.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    return mine.join(met, "key")
 
-def _hub_pairs(marked: DataFrame, turn: int) -> DataFrame:
-    """Each member out of its list's largest component, with a member of that component.
 
-    In the first turn the hub is the same for all lists that have it, so shared
-    keys can be counted; later turns draw another hub for every list.
-    """
+def _hub_pairs(marked: DataFrame, turn: int) -> DataFrame:
+    """Each member out of its list's largest component, with a member of that component; another one in each turn."""
     hub = (marked.filter("comp = top").groupBy("key")
-           .agg(F.min(F.struct(F.xxhash64("cls", "key", F.lit(turn)), "cls", "n")).alias("hub")))
-    p = (marked.filter("comp <> top").join(hub, "key")
-         .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-         .filter(_fits("na", "nb")))
-    p = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return (p.filter(F.col("c") >= F.least(F.lit(SHARE), _common("na", "nb"))) if turn == 1 else p).drop("c")
-
-
-def _cross_pairs(marked: DataFrame, counted: bool) -> DataFrame:
-    """Pairs of members in different components, once; ``counted`` asks that shared and long keys together suffice."""
-    l = marked.filter("comp <> top").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("h").alias("ha"))
-    r = marked.select("key", "top", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("h").alias("hb"))
-    p = (l.join(r, "key").filter((F.col("ca") != F.col("cb")) & _fits("na", "nb") & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-         .select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z)
-                   for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))],
-                 F.least("ha", "hb").alias("h")))
-    p = p.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.first("h").alias("h"))
-    if counted:
-        p = p.filter(F.col("c") + F.col("h") >= F.least(F.lit(SHARE), _common("na", "nb")))
-    return p.select("a", "b", "na", "nb")
-
-
-def _tiny_pairs(long: DataFrame, depth: int) -> DataFrame:
-    """Pairs of sets so small that ``depth`` common shingles can link them."""
-    most = 7 * depth // 3
-    l = (long.filter(F.col("n") < most)
-         .select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
-                 F.explode(F.sequence(F.ceil(F.col("n") * NUM / DEN), F.col("n"))).alias("nb"))
-         .filter(_common("na", "nb") <= depth))
-    r = long.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return l.join(r, ["key", "nb"]).filter("a <> b and ca <> cb").select("a", "b", "na", "nb").distinct()
+           .agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("hub")))
+    return (marked.filter("comp <> top").join(hub, "key")
+            .select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+            .filter(_fits("na", "nb")).distinct())
+
+
+def _cross_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs of members in different components, once."""
+    l = marked.filter("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    r = marked.select("key", "top", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    return (l.join(r, "key").filter((F.col("ca") != F.col("cb")) & _fits("na", "nb") & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
+            .select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z)
+                      for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))])
+            .distinct())
+
+
+def _rounds(linker: _Linker, lists: DataFrame, name: str, last: bool) -> DataFrame:
+    """Compare the members of ``lists``; what is long afterwards is returned, or paired too if ``last``."""
+    s = linker.scratch
+    long_key = F.col("out") > SMALL
+    linker.add(_hub_pairs(s.cut(linker.mark(lists), f"{name}-0"), 1))
+    for turn in range(2, TURNS + 1):
+        # a list of two members has been compared
+        linker.add(_hub_pairs(s.cut(linker.mark(lists).filter((F.col("m") > 2) & long_key), f"{name}-{turn}"), turn))
+    marked = s.cut(linker.mark(lists).filter("m > 2"), f"{name}-rest")
+    linker.add(_cross_pairs(marked if last else marked.filter(~long_key)))
+    long = marked.filter(long_key).select("key", "id", "n")
+    return linker.mark(long).filter(long_key)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -299,69 +321,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     limit_arrow(docs.sparkSession)
     rows = scratch.cut(sketches(docs), "sketches")
-    classes = scratch.cut(rows.filter("n > 0").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "tag")).alias("rep")), "classes")
+    classes = rows.filter("n > 0").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "tag")).alias("rep"))
+    classes = scratch.cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     # a set of one shingle has no near copy but equal sets
-    values = F.transform(F.sequence(F.lit(0), F.least(F.lit(KEYS), F.col("n").cast("int")) - 1),
-                         lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    keys = classes.filter("n > 1").select("cls", "n", F.explode(values).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    inv = scratch.cut(keys.join(shared, "key"), "lists")
-    several = inv.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c > 1")
-    wanted = several.filter(DEN * F.col("n") > NUM * K).select("cls").join(classes.select("cls", "rep"), "cls")
-    wanted = wanted.select("cls", id_key(F.col("rep.doc_id")).alias("doc_key"), F.col("rep.tag").alias("tag"))
+    lists = scratch.cut(_rare_lists(classes.filter("n > 1").select("id", "n", F.col("sketch").alias("vals")), K, CUT), "lists")
+    wanted = classes.filter(DEN * F.col("n") > NUM * K).join(lists.select("id").distinct(), "id", "left_semi")
+    wanted = wanted.select("id", "n", id_key(F.col("rep.doc_id")).alias("doc_key"), F.col("rep.tag").alias("tag"))
     d = narrow(docs)
     d = d.select(id_key(d["doc_id"]).alias("doc_key"), text_tag(d["text"]).alias("tag"), "text")
-    texts = scratch.cut(d.join(wanted, ["doc_key", "tag"]).select("cls", "text")
-                        .mapInArrow(_first_of_run, "cls binary, text string"), "texts")
-    inv = inv.join(several.select("cls"), "cls", "left_semi")
-
-    linker = _Linker(classes, texts, scratch)
-    share = F.least(F.lit(SHARE), F.ceil(F.col("n") * NUM / DEN))
-    inv = inv.withColumn("h", F.lit(0).cast("long"))
-    linker.add(_hub_pairs(scratch.cut(linker.mark(inv), "marked-0"), 1))
-    long_key = F.col("out") > SMALL
-    for depth in range(1, SHARE + 1):
-        marked = scratch.cut(linker.mark(inv), f"marked-{depth}")
-        if marked.isEmpty():
-            break
-        if depth == 1:
-            # a document's keys in long lists, in the order of the sketch
-            mine = (marked.filter(long_key).groupBy("cls").agg(F.collect_set("key").alias("long"))
-                    .join(classes.select("cls", values.alias("v")), "cls")
-                    .select("cls", F.filter("v", lambda x: F.array_contains("long", x)).alias("long")))
-            mine = scratch.cut(mine.withColumn("h", F.size("long").cast("long")), "long")
-            inv = (inv.drop("h").join(mine.select("cls", "h"), "cls", "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long")))
-                   .withColumn("last", F.col("key")).withColumn("path", F.col("key")))
-            marked = linker.mark(inv)
-        for turn in range(2, 2 + TURNS):
-            linker.add(_hub_pairs(marked.filter(long_key & (F.col("h") >= share)), turn))
-            marked = linker.mark(inv)
-        marked = scratch.cut(marked, f"again-{depth}")
-        linker.add(_cross_pairs(marked if depth == SHARE else marked.filter(~long_key), depth == 1))
-        long = marked.filter(long_key & (F.col("h") >= share))
-        if depth == SHARE or long.isEmpty():
-            break
-        linker.add(_tiny_pairs(long, depth))
-        # one more key, later in hash order, among the first h - share + depth + 1
-        first = F.slice("long", 1, F.greatest(F.lit(0), F.col("h") - share + depth + 1).cast("int"))
-        at = F.array_position("first", F.col("last")).cast("int")
-        inv = (long.select("cls", "n", "h", "path", "last").join(mine.select("cls", "long"), "cls").withColumn("first", first)
-               .filter(at > 0)
-               .select("cls", "n", "h", "path", F.explode(F.slice("first", at + 1, F.size("first"))).alias("last"))
-               .select("cls", "n", "h", "last", F.xxhash64("path", "last").alias("path")).withColumn("key", F.col("path")))
-        inv = scratch.cut(inv, f"lists-{depth + 1}")
-        scratch.drop_all("marked-", "again-")
-        scratch.drop(f"lists-{depth}" if depth > 1 else "lists")
-    kept = None
-    if linker.labels is not None:
-        kept = scratch.cut(linker.labels, "result")
-    scratch.keep("sketches", "result")  # all that the answer reads
-    if kept is None:
-        out = rows.withColumn("comp", F.col("cls"))
+    texts = scratch.cut(d.join(wanted, ["doc_key", "tag"]).select("id", "n", "text")
+                        .mapInArrow(_first_of_run, "id long, n long, text string"), "texts")
+
+    linker = _Linker(classes.select("id", "sketch"), texts.select("id", "text"), scratch)
+    hard = scratch.cut(_rounds(linker, lists, "marked", False).select("id").distinct(), "hard")
+    scratch.drop_all("marked-", "lists")
+    if not hard.isEmpty():
+        whole = classes.filter(F.col("n").between(2, K)).join(hard, "id", "left_semi").select("id", "n", F.col("sketch").alias("vals"))
+        deep = texts.filter(F.col("n") > K).join(hard, "id", "left_semi").mapInArrow(_deep, "id long, n long, vals array<long>")
+        # repeated rows of one id and text may have left a text twice
+        sets = whole.unionByName(deep).groupBy("id").agg(F.first("n").alias("n"), F.first("vals").alias("vals"))
+        sets = scratch.cut(sets, "deep")
+        _rounds(linker, scratch.cut(_rare_lists(sets, DEEP, DEEP_CUT), "deep-lists"), "deep-marked", True)
+    comp = classes.select("cls", "id")
+    if linker.labels is None:
+        comp = comp.select("cls", F.col("id").alias("comp"))
     else:
-        out = (rows.join(kept.withColumnRenamed("node", "cls"), "cls", "left")
-               .withColumn("comp", F.coalesce("comp", "cls")))
+        comp = (comp.join(linker.labels.withColumnRenamed("node", "id"), "id", "left")
+                .select("cls", F.coalesce("comp", "id").alias("comp")))
+    comp = scratch.cut(comp, "result")
+    scratch.keep("sketches", "result")  # all that the answer reads
+    out = rows.select("doc_id", "tag", "n", "cls").join(comp, "cls", "left")
     out = out.select("doc_id", "tag", F.col("n").alias("n_shingles"), "comp")
     # the smallest id first, null after all others
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")

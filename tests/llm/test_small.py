@@ -147,6 +147,28 @@ def test_near_crowded(spark, monkeypatch):
     same(got.select("doc_id", "n_shingles", "component_id").collect(), brute_components(rows))
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_near_shared_boilerplate(spark, monkeypatch, n):
+    """Texts that share half of their words without being linked: candidates grow with the texts, not with their pairs."""
+    from corpuslens.llm import near
+    sent, add = [], near._Linker.add
+
+    def counted(self, pairs):
+        pairs = self.scratch.cut(pairs, f"seen-{len(sent)}")
+        sent.append(pairs.count())
+        add(self, pairs)
+
+    monkeypatch.setattr(near._Linker, "add", counted)
+    rng = random.Random(5)
+    shared = prose(rng, 300)
+    rows = [(k, shared + " " + " ".join(f"own{rng.randrange(10**9)}" for _ in range(300))) for k in range(n)]
+    rows.append((n, rows[7][1] + " with one more end"))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
+    comp = {r.doc_id: r.component_id for r in got.collect()}
+    assert comp == {k: 7 if k == n else k for k in range(n + 1)}
+    assert sum(sent) <= 40 * n, sent
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
