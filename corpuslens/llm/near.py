@@ -12,14 +12,17 @@ come last and make no list, unless they are most of a document.
 
 A long list is not expanded into pairs. Only members of *different* components
 can still matter. Every member outside the list's largest component is compared
-with a hub, a member of that component, and confirmed links join components;
-lists inside one component are dropped. Of the rest, lists with up to SMALL
-members outside give all pairs across components (linear in the list). A pair
-that meets in longer lists only has both members in them: these classes retain
+with a hub, a member of that component with few values of its own (such a one is
+near the middle of a family of edited copies), and confirmed links join
+components; lists inside one component are dropped. Hubs change from turn to
+turn, and turns go on while one comparison in GAIN joins something. Of the rest,
+lists of up to SMALL members give all pairs across components. A pair that
+meets in longer lists only has both members in them: these classes retain
 DEEP values instead of K, get lists of their own from the rarest of these, and
 go through the same rounds. What is still long then is paired in full, so that
-no link is lost; that takes classes that have over two thirds of their shingles
-in common with many others without being linked with them.
+no link is lost. Sets that are whole in their lists (up to three quarters of K
+or DEEP shingles) are paired only where the places of their first common value
+leave room for the threshold.
 
 Candidates are filtered by the estimate from the union sketch and confirmed on
 full shingle sets. At the threshold, fewer than CUT = 28 common values of K = 64
@@ -48,11 +51,13 @@ CUT = 28
 #: Values that members of long lists retain, and how many of them a linked pair shares.
 DEEP = 1024
 DEEP_CUT = 685
-SMALL = 32
+#: Members of a list that is paired in full.
+SMALL = 16
 #: Up to so many pairs (two numbers of 8 bytes each) are sent to the tables that they name.
 FEW = 100_000
-#: Hubs drawn for a list.
-TURNS = 3
+#: Hubs drawn for a list at least; more while one comparison in GAIN is a link.
+TURNS = 2
+GAIN = 8
 NUM, DEN = 75, 100
 
 SKETCH = "doc_id long, tag binary, n long, cls binary, sketch array<long>"
@@ -206,14 +211,14 @@ class _Linker:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         return table.join(F.broadcast(ids), "id", "left_semi")
 
-    def add(self, pairs: DataFrame) -> None:
-        """``pairs``: a, b (classes), na, nb (their sizes)."""
+    def add(self, pairs: DataFrame) -> tuple[int, int]:
+        """``pairs``: a, b (classes), na, nb (their sizes). Returns how many pairs were compared and linked."""
         self.round += 1
         s, r = self.scratch, self.round
         pairs = s.cut(pairs, f"pairs-{r}")
-        n = pairs.count()
+        n = sent = pairs.count()
         if not n:
-            return
+            return 0, 0
         few = self._only(self.classes, pairs, n)
         sk = few.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
         sk2 = few.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
@@ -228,8 +233,9 @@ class _Linker:
             new = new.unionByName(check.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"))
         new = s.cut(new, f"links-{r}")
         s.drop_all("pairs-", "likely-")
-        if new.isEmpty():
-            return
+        linked = new.count()
+        if not linked:
+            return sent, 0
         edges = new if self.labels is None else new.unionByName(self.links)
         found = components(edges, s, f"comp-{r}")
         old = [x for x in s.labels if x.startswith("labels-")]
@@ -240,6 +246,7 @@ class _Linker:
             s.drop(x)
         # a star per component says the same as all links so far
         self.links = self.labels.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        return sent, linked
 
     def mark(self, inv: DataFrame) -> DataFrame:
         """Rows of lists that reach over components: comp, the list's largest component top, members m, and how many are out of top."""
@@ -248,8 +255,8 @@ class _Linker:
                    .withColumn("comp", F.coalesce("comp", "id")))
         else:
             inv = inv.withColumn("comp", F.col("id"))
-        stat = (inv.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
-                .agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("t"))
+        stat = (inv.groupBy("key", "comp").agg(F.count("*").alias("c"), (-F.min("own")).alias("o")).groupBy("key")
+                .agg(F.sum("c").alias("m"), F.max(F.struct("c", "o", "comp")).alias("t"))
                 .select("key", F.col("t.comp").alias("top"), "m", (F.col("m") - F.col("t.c")).alias("out")).filter("out > 0"))
         return inv.join(stat, "key")
 
@@ -259,13 +266,26 @@ def _fits(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
+def _meets(a: str, b: str):
+    """A pair may link and this may be its first common value: nothing before it is shared, and the rest suffices.
+
+    The places count for sets that are whole; if less than a place's rest is
+    common at the first common value, the threshold cannot be reached.
+    """
+    n1, n2, p1, p2 = (F.col(f"{x}.{y}") for y in ("n", "pos") for x in (a, b))
+    common = F.ceil((n1 + n2) * NUM / (NUM + DEN))
+    placed = (p1 <= n1 - common + 1) & (p2 <= n2 - common + 1)
+    return _fits(f"{a}.n", f"{b}.n") & (placed | ~(F.col(f"{a}.whole") & F.col(f"{b}.whole")))
+
+
 def _rare_lists(sets: DataFrame, k: int, cut: int) -> DataFrame:
-    """Inverted lists (key, id, n) of the rarest of the ``k`` values that ``sets`` (id, n, vals) retain.
+    """Inverted lists (key, id, n, own, whole, pos) of the rarest of the ``k`` values that ``sets`` (id, n, vals) retain.
 
     A linked pair has ``cut`` values in common, or three quarters of a set that
     is whole like all its partners; its first common value in the order of
     (frequency, value) is in both prefixes. Values that one set alone has come
-    first and join nothing, so they are only counted.
+    first and join nothing, so they are only counted (own). ``pos`` is a
+    value's place in its set's order, from 1.
     """
     keys = sets.select("id", F.col("n").cast("int").alias("n"), F.explode("vals").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
@@ -274,43 +294,48 @@ def _rare_lists(sets: DataFrame, k: int, cut: int) -> DataFrame:
     alone = F.least(F.col("n"), F.lit(k)) - F.size("v")
     first = F.least(F.col("n"), F.lit(k)) - need + 1 - alone
     mine = (keys.join(shared, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("v"))
-            .select("id", F.col("n").cast("long").alias("n"), F.explode(F.slice("v", 1, F.greatest(F.lit(0), first).cast("int"))).alias("v"))
-            .select("id", "n", "v.key"))
+            .select("id", F.col("n").cast("long").alias("n"), alone.alias("own"), (DEN * F.col("n") <= NUM * k).alias("whole"),
+                    F.posexplode(F.slice("v", 1, F.greatest(F.lit(0), first).cast("int"))).alias("pos", "v"))
+            .select("id", "n", "own", "whole", (F.col("own") + F.col("pos") + 1).alias("pos"), "v.key"))
     met = mine.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     return mine.join(met, "key")
 
 
 def _hub_pairs(marked: DataFrame, turn: int) -> DataFrame:
-    """Each member out of its list's largest component, with a member of that component; another one in each turn."""
+    """Each member out of its list's largest component, with a member of that component: one of few own values, from another quarter in each turn."""
+    away = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(4)) > 0
     hub = (marked.filter("comp = top").groupBy("key")
-           .agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("hub")))
-    return (marked.filter("comp <> top").join(hub, "key")
-            .select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-            .filter(_fits("na", "nb")).distinct())
+           .agg(F.min(F.struct((F.lit(turn > 1) & away).alias("away"), "own", "id", "n", "pos", "whole")).alias("hub")))
+    return (marked.filter("comp <> top").select("key", F.struct("id", "n", "pos", "whole").alias("l")).join(hub, "key")
+            .filter(_meets("hub", "l"))
+            .select(F.col("hub.id").alias("a"), F.col("l.id").alias("b"), F.col("hub.n").alias("na"), F.col("l.n").alias("nb")).distinct())
 
 
 def _cross_pairs(marked: DataFrame) -> DataFrame:
     """Pairs of members in different components, once."""
-    l = marked.filter("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    r = marked.select("key", "top", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return (l.join(r, "key").filter((F.col("ca") != F.col("cb")) & _fits("na", "nb") & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-            .select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z)
-                      for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))])
-            .distinct())
+    side = F.struct("id", "n", "pos", "whole", "comp")
+    l = marked.filter("comp <> top").select(F.col("key").alias("at"), side.alias("l"))
+    r = marked.select("key", "top", side.alias("r"))
+    once = (F.col("r.comp") == F.col("top")) | (F.col("l.id") < F.col("r.id"))
+    p = l.join(r, (F.col("at") == F.col("key")) & (F.col("l.comp") != F.col("r.comp")) & once & _meets("l", "r"))
+    turned = F.col("l.id") > F.col("r.id")
+    a, b = F.when(turned, F.col("r")).otherwise(F.col("l")), F.when(turned, F.col("l")).otherwise(F.col("r"))
+    return p.select(a.getField("id").alias("a"), b.getField("id").alias("b"), a.getField("n").alias("na"), b.getField("n").alias("nb")).distinct()
 
 
 def _rounds(linker: _Linker, lists: DataFrame, name: str, last: bool) -> DataFrame:
     """Compare the members of ``lists``; what is long afterwards is returned, or paired too if ``last``."""
-    s = linker.scratch
-    long_key = F.col("out") > SMALL
-    linker.add(_hub_pairs(s.cut(linker.mark(lists), f"{name}-0"), 1))
-    for turn in range(2, TURNS + 1):
+    s, turn = linker.scratch, 1
+    sent, linked = linker.add(_hub_pairs(s.cut(linker.mark(lists), f"{name}-1"), 1))
+    while sent and (turn < TURNS or linked * GAIN >= sent):
+        turn += 1
+        s.drop(f"{name}-{turn - 1}")
         # a list of two members has been compared
-        linker.add(_hub_pairs(s.cut(linker.mark(lists).filter((F.col("m") > 2) & long_key), f"{name}-{turn}"), turn))
+        sent, linked = linker.add(_hub_pairs(s.cut(linker.mark(lists).filter("m > 2"), f"{name}-{turn}"), turn))
     marked = s.cut(linker.mark(lists).filter("m > 2"), f"{name}-rest")
-    linker.add(_cross_pairs(marked if last else marked.filter(~long_key)))
-    long = marked.filter(long_key).select("key", "id", "n")
-    return linker.mark(long).filter(long_key)
+    short = F.col("m") <= SMALL
+    linker.add(_cross_pairs(marked if last else marked.filter(short)))
+    return linker.mark(marked.filter(~short).select(*lists.columns))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:

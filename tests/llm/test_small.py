@@ -156,7 +156,7 @@ def test_near_shared_boilerplate(spark, monkeypatch, n):
     def counted(self, pairs):
         pairs = self.scratch.cut(pairs, f"seen-{len(sent)}")
         sent.append(pairs.count())
-        add(self, pairs)
+        return add(self, pairs)
 
     monkeypatch.setattr(near._Linker, "add", counted)
     rng = random.Random(5)
