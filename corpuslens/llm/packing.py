@@ -295,7 +295,7 @@ def pack(docs: DataFrame, tokenizer_path: str, scratch: Scratch, capacity: int =
          groups: int = GROUPS, shard: int = SHARD) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
     spark = docs.sparkSession
-    p = scratch.cut(pieces(docs, tokenizer_path, capacity), "pieces")
+    p = scratch.cut(pieces(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     hist = p.groupBy("length").count().orderBy("length").collect()  # at most one row per length
     lengths = np.array([r[0] for r in hist], dtype=np.int64)
     counts = np.array([r[1] for r in hist], dtype=np.int64)
@@ -303,10 +303,11 @@ def pack(docs: DataFrame, tokenizer_path: str, scratch: Scratch, capacity: int =
     shards = max(1, -(-int(counts.sum()) // shard)) if len(counts) else 1
     sized = spark.createDataFrame(list(size_of.items()) or [(-1, -1)], "length long, grp int")
     spots = spark.createDataFrame(places or [(-1, 0, 0, 0, 1)], "grp int, lo long, hi long, first_bin long, per long")
-    # numbers within a group: a slice is numbered by itself, after the slices before it
+    # numbers within a group: a slice is numbered by itself, after the slices before it;
+    # slices go by stored row numbers, so ids that many rows share fill none
     slices = 8 * shards
     s = (p.join(F.broadcast(sized), "length", "left")
-         .withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int")))
+         .withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int")))
     before = (s.filter("grp is not null").groupBy("grp", "slice").count()
               .withColumn("before", F.sum("count").over(Window.partitionBy("grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
               .select("grp", "slice", F.coalesce("before", F.lit(0).cast("long")).alias("before")))
