@@ -163,10 +163,15 @@ def references(measured: DataFrame) -> DataFrame:
 
 
 def _used(counts: Column, ref: Column) -> Column:
-    """Of the counts (the rest last) those of words that the reference uses, and all others as the rest."""
-    used = F.transform(F.filter(F.arrays_zip(F.slice(counts, F.lit(1), F.size(ref)).alias("n"), ref.alias("c")), lambda x: x["c"] > 0), lambda x: x["n"])
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(F.size(used) > 0, F.concat(used, F.array(total - F.aggregate(used, F.lit(0).cast("long"), lambda a, x: a + x))))
+    """Of the counts (the rest last) those of words that the reference uses."""
+    return F.transform(F.filter(F.arrays_zip(F.slice(counts, F.lit(1), F.size(ref)).alias("n"), ref.alias("c")), lambda x: x["c"] > 0), lambda x: x["n"])
+
+
+def _with_rest(used: Column, counts: Column) -> Column:
+    """``used`` and all other counts as the rest; null if none is used."""
+    def total(a):
+        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(F.size(used) > 0, F.concat(used, F.array(total(counts) - total(used))))
 
 
 def _rest(shares: Column) -> Column:
@@ -174,18 +179,23 @@ def _rest(shares: Column) -> Column:
     return F.concat(used, F.array(F.greatest(F.lit(0).cast("long"), SCALE - F.aggregate(used, F.lit(0).cast("long"), lambda a, x: a + x))))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two arrays of counts of one length; 0 if either is all zero."""
-    def total(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
+
+def _js(p: Column, q: Column, tp: Column, tq: Column) -> Column:
+    """``js_distance`` with the sums of ``p`` and ``q`` given."""
     def half(x, m):
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    tp, tq = total(p), total(q)
     parts = F.zip_with(p, q, lambda a, b: F.struct((a / tp).alias("a"), (b / tq).alias("b")))
     terms = F.transform(parts, lambda s: (half(s["a"], (s["a"] + s["b"]) / 2) + half(s["b"], (s["a"] + s["b"]) / 2)) / 2)
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms)))).otherwise(0.0)
+    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), _total(terms)))).otherwise(0.0)
+
+
+def js_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of two arrays of counts of one length; 0 if either is all zero."""
+    return _js(p, q, _total(p), _total(q))
 
 
 def judged(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS,
@@ -207,10 +217,18 @@ def judged(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "l
     d = d.select("row", "lang_key", "d1", "d2", "m", classes.alias("classes"), F.size(held).alias("k"), _placed(F.col("m.words"), held).alias("placed"))
     d = scratch.cut(d.select("row", "lang_key", "d1", "d2", F.col("m").dropFields("words", "classes").alias("m"), "classes",
                              _spread(F.col("placed"), F.col("k"), F.col("m.n_words")).alias("counts")), "measured")
-    d = d.join(few(references(d)), "lang_key", "left")
+    # what a language gives is worked out once a language, and what is read more than once has a column of its own:
+    # an expression inside a lambda is evaluated again for every element
+    ref = references(d).withColumn("ref_rest", _rest(F.col("ref_words"))).withColumns(
+        {"ref_chars": _total(F.col("ref_classes")), "ref_n": _total(F.col("ref_rest"))})
+    d = d.join(few(ref), "lang_key", "left")
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > REPEAT_PCT * F.col("m.n_words"))
-    cls = F.when(F.col("m.n_chars") >= MIN_CHARS, js_distance(F.col("classes"), F.col("ref_classes")))
-    wrd = F.when(F.col("m.n_words") >= MIN_COMMON, js_distance(_used(F.col("counts"), F.col("ref_words")), _rest(F.col("ref_words"))))
+    long, wordy = F.col("m.n_chars") >= MIN_CHARS, F.col("m.n_words") >= MIN_COMMON
+    d = d.withColumns({"used": F.when(wordy, _used(F.col("counts"), F.col("ref_words"))), "n_classes": F.when(long, _total(F.col("classes")))})
+    d = d.withColumn("common", _with_rest(F.col("used"), F.col("counts")))
+    d = d.withColumn("n_common", _total(F.col("common")))
+    cls = F.when(long, _js(F.col("classes"), F.col("ref_classes"), F.col("n_classes"), F.col("ref_chars")))
+    wrd = F.when(wordy, _js(F.col("common"), F.col("ref_rest"), F.col("n_common"), F.col("ref_n")))
     d = d.select("row", "m", failed.alias("failed"), cls.alias("class_js"), wrd.alias("word_js"))
     keeps = (~F.col("failed") & (F.coalesce("class_js", F.lit(0.0)) <= max_class) & (F.coalesce("word_js", F.lit(0.0)) <= max_word))
     q = F.struct("m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "class_js", "word_js",

@@ -449,3 +449,14 @@ def test_divergence(spark):
     m = (x + y) / 2
     kl = lambda u: sum(a * math.log2(a / b) for a, b in zip(u, m) if a)
     assert math.isclose(got[0], math.sqrt((kl(x) + kl(y)) / 2)) and got[1] == 0 and got[2] == 0
+
+
+def test_rules_work_out_counts_once(spark, docs):
+    """No count that a distance reads is worked out again for every element of it."""
+    from corpuslens.llm.rules import judged
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = judged(docs, Scratch(spark, "t"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("arrays_zip(") == 1
