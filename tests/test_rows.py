@@ -110,3 +110,13 @@ def test_only_lexicon_hits_are_shuffled(spark):
     assert not [x for x in plan.split("\n") if "SortMergeJoin" in x and "lemma" in x]
     assert (r.hl_doc_rate, r.hl_token_rate, r.hl_class_gap) == (1 / 3, 2 / 5, 1.0)
     assert abs(r.hl_category_entropy - (math.log2(3) - 2 / 3)) < 1e-12
+
+
+def test_grams_are_made_after_the_texts_have_met(spark):
+    """Dealing rows by document again would shuffle every gram of every text."""
+    docs = spark.createDataFrame([("d", 1, "aa bb"), ("d", 1, "aa bb")], "dataset_id string, doc_id long, text string")
+    once = pn.with_grams(docs.dropDuplicates(["doc_id", "text"]), "char")
+    got = op.doc_terms(once, F.col("grams"), ["doc_id", "text"], placed=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
+    assert sorted((r.term, r.tf) for r in got.collect()) == [(" aa", 1), (" aa ", 1), (" bb", 1), (" bb ", 1), ("aa ", 1), ("bb ", 1)]
