@@ -120,3 +120,9 @@ def test_grams_are_made_after_the_texts_have_met(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1
     assert sorted((r.term, r.tf) for r in got.collect()) == [(" aa", 1), (" aa ", 1), (" bb", 1), (" bb ", 1), ("aa ", 1), ("bb ", 1)]
+
+
+def test_a_bound_that_no_vocabulary_reaches_changes_nothing(spark):
+    terms, roles = tables(spark)
+    for fit in (lambda **kw: lm.bow_tree(terms, roles, **kw), lambda **kw: pn.complement_nb(terms, roles, **kw)):
+        assert sorted(map(tuple, fit(max_terms=100).collect())) == sorted(map(tuple, fit().collect()))
