@@ -126,3 +126,15 @@ def test_a_bound_that_no_vocabulary_reaches_changes_nothing(spark):
     terms, roles = tables(spark)
     for fit in (lambda **kw: lm.bow_tree(terms, roles, **kw), lambda **kw: pn.complement_nb(terms, roles, **kw)):
         assert sorted(map(tuple, fit(max_terms=100).collect())) == sorted(map(tuple, fit().collect()))
+
+
+def test_documents_dealt_by_id_are_not_dealt_again(spark):
+    """Rows of one document meet where a join has put them: its text is not shuffled once more."""
+    texts = spark.createDataFrame([(1, "b a b"), (1, "c a"), (2, ""), (3, None), (4, "é a")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y")], "doc_id long, label string")
+    docs = texts.join(marks.hint("merge"), "doc_id").withColumn("dataset_id", F.lit("d"))
+    counts = op.doc_counts(docs, tx.word_tokens(F.col("text")))
+    got = {r.doc_id: dict(zip(r.w, r.tf)) for r in counts.collect()}
+    assert got == {1: {"a": 2, "b": 2, "c": 1}, 4: {"a": 1, "é": 1}}
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
