@@ -70,3 +70,31 @@ def test_descriptors_by_pieces_of_several_blocks(spark, monkeypatch):
     assert {r.doc_id: r.other for r in near.collect()} == dict(enumerate(other))
     inside = (np.where(np.isnan(d), 0.0, d) < other[:, None]).sum()  # a row itself counts, if its enemy is apart
     assert abs(cx.lsc(p, near).first().cx_lsc - (1 - inside / 8100)) < 1e-12
+
+
+def kruskal(v):
+    i, j = np.triu_indices(len(v), 1)
+    d = np.round(np.sqrt(((v[i] - v[j]) ** 2).sum(axis=1)), 10)
+    root, tree = list(range(len(v))), set()
+    for e in np.lexsort((j, i, d)):
+        x, y = root[i[e]], root[j[e]]
+        if d[e] > 0 and x != y:
+            root = [x if r == y else r for r in root]
+            tree.add((int(i[e]), int(j[e])))
+    return tree
+
+
+@pytest.mark.parametrize("one", [131_072, 6])
+def test_spanning_tree_of_tiles(spark, monkeypatch, one):
+    """Tiles are gone through once; rounds over edges and groups of edges give the same tree."""
+    monkeypatch.setattr(tiles, "MIN_ROWS", 20)
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(70, 2)), 1)  # equal distances
+    v[65:] = v[:5]  # no edge between copies
+    p = spark.createDataFrame([("d", "s", i, i % 2, v[i].tolist()) for i in range(70)],
+                              "dataset_id string, space string, doc_id long, label int, v array<double>")
+    calls, run = [], cx.tile_run
+    monkeypatch.setattr(cx, "tile_run", lambda *a, **k: calls.append(1) or run(*a, **k))
+    rows = cx.spanning_tree(p, one=one).collect()
+    assert {(r.a, r.b) for r in rows} == kruskal(v) and len(rows) == len(kruskal(v)) and len(calls) == 1
+    assert all((r.label_a, r.label_b) == (r.a % 2, r.b % 2) for r in rows)
