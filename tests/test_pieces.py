@@ -98,3 +98,32 @@ def test_spanning_tree_of_tiles(spark, monkeypatch, one):
     rows = cx.spanning_tree(p, one=one).collect()
     assert {(r.a, r.b) for r in rows} == kruskal(v) and len(rows) == len(kruskal(v)) and len(calls) == 1
     assert all((r.label_a, r.label_b) == (r.a % 2, r.b % 2) for r in rows)
+
+
+@pytest.mark.parametrize("dense", [1, 40, 10**9])
+def test_products_of_rare_and_frequent_terms(monkeypatch, dense):
+    """Each way of multiplying alone and both together; the dense product holds frequent terms only."""
+    monkeypatch.setattr(vec, "DENSE", dense)
+    monkeypatch.setattr(vec, "PRODUCTS", 5)
+    monkeypatch.setattr(vec, "TERM_CHUNK", 3)
+    rng = np.random.default_rng(8)
+    a, b = (np.where(rng.random((n, 30)) < np.linspace(0.02, 0.9, 30), rng.random((n, 30)), 0.0) for n in (11, 9))
+    b[4] = 0.0
+    trip = [(i, j * 7, m[i, j]) for m in (a, b) for i, j in [np.nonzero(m)]]
+    assert np.allclose(vec.sparse_similarity(*trip[0], *trip[1], 11, 9), a @ b.T)
+
+
+def test_a_pair_of_sparse_blocks_is_multiplied_once(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "MIN_ROWS", 10)
+    rng = np.random.default_rng(9)
+    w = np.where(rng.random((40, 12)) < 0.3, rng.random((40, 12)), 0.0)
+    w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+    docs = spark.createDataFrame([("d", i, str(i % 3)) for i in range(40)], "dataset_id string, doc_id long, label string")
+    rows = spark.createDataFrame([("d", int(i), str(i % 3), f"t{j}", float(w[i, j])) for i, j in zip(*np.nonzero(w))],
+                                 "dataset_id string, doc_id long, label string, term string, w double").drop("label")
+    d = np.round(1 - w @ w.T, 10)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in vec.knn_sparse(rows, docs, 3).collect():
+        got.setdefault(r.doc_id, {})[r.pos] = r.nbr
+    assert got == {i: dict(enumerate(np.lexsort((np.arange(40), d[i]))[:3].tolist(), 1)) for i in range(40)}
